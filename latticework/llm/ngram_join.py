@@ -18,13 +18,12 @@ shared shingles only; those regroup by chunk. A shingle which several documents
 of a chunk hold is sent once with its count, so that a hot shingle costs its
 range one entry per chunk, not one per document.
 
-Equal sets count once (a 112-bit digest and the size decide); the members take
-their representative's component. Links are followed hub by hub: in the list of
-a prefix shingle the member with most links is compared with all others, and
-members that are in one component already are not compared again. When what is
-left is few pairs, or hubs find no more links, all pairs of members in different
-components are compared; so no component is missed and a group of near copies
-costs about its size, not its square.
+Equal sets count once (a 128-bit digest and the size decide); the members take their
+representative's component. Links are followed hub by hub: in the list of a prefix shingle the
+member with most links is compared with all members of other components. Where that no longer
+helps, every pair of members in different components is looked at, in blocks of bounded size,
+by signatures that bound the overlap from above; pairs that pass are verified. So no component
+is missed, and a group of near copies costs little more than its size.
 """
 
 from __future__ import annotations
@@ -43,8 +42,10 @@ _U = np.uint64
 _TOK = _U((1 << 48) - 1)
 CHUNK_BYTES = 6_000_000
 CHUNK_DOCS = 40_000
+BLOCK = 4_096
+SIGNATURE_BITS = 1_024
 _BLOCKS = "kind int, part int, chunk long, docs binary, toks binary"
-_SETS = "doc_id long, n long, d1 long, d2 long, toks array<long>, p1 array<long>, p2 array<long>, p3 array<long>"
+_SETS = "doc_id long, n long, d1 long, d2 long, toks array<long>, p1 array<long>, p2 array<long>, p3 array<long>, sig binary"
 
 
 def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -192,6 +193,7 @@ def _sets(percent: int):
             raise RuntimeError("a chunk came without its header: its input changed between attempts")
         n = head.column("n").to_numpy()
         lists = {c: [None] * len(n) for c in ("toks", "p1", "p2", "p3")}
+        sigs = [None] * len(n)
         if doc:
             doc, tok, df = np.concatenate(doc), np.concatenate(tok), np.concatenate(df)
             local = doc == 65535
@@ -216,9 +218,12 @@ def _sets(percent: int):
                 a, b = edge[i], edge[i + 1]
                 p = (n[i] - least[i] + 1) - (n[i] - have[i])
                 lists["toks"][i] = signed[orders[0][a:b]]
+                bits = np.zeros(SIGNATURE_BITS, bool)
+                bits[(C.mix64(tok[orders[0][a:b]]) % _U(SIGNATURE_BITS)).astype(np.int64)] = True
+                sigs[i] = np.packbits(bits).tobytes()
                 for c, o in zip(("p1", "p2", "p3"), orders):
                     lists[c][i] = signed[o[a : a + p]]
-        return pa.table({**{c: head.column(c) for c in ("doc_id", "n", "d1", "d2")}, **{c: pa.array(v, list_type) for c, v in lists.items()}})
+        return pa.table({**{c: head.column(c) for c in ("doc_id", "n", "d1", "d2")}, **{c: pa.array(v, list_type) for c, v in lists.items()}, "sig": pa.array(sigs, pa.binary())})
 
     return run
 
@@ -242,43 +247,76 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * common >= percent * (F.col("an") + F.col("bn") - common)).select("a", "b")
 
 
+def _scan(percent: int):
+    """Within the members of a shingle (or two blocks of them): pairs of different components that may link.
+
+    A shingle whose bit the other signature lacks is not in the other set; what is left bounds the overlap.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, n, have, comp, block = (table.column(c).to_numpy() for c in ("id", "n", "have", "component", "block"))
+        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), "<u8").reshape(len(ids), -1)
+        low, high = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        order = np.argsort(block, kind="stable")
+        ids, n, have, comp, sig = (x[order] for x in (ids, n, have, comp, sig))
+        first = np.flatnonzero(block[order] == low)
+        split = len(first) if low != high else 0
+        out = [np.zeros((0, 2), np.int64)]
+        for x in first:
+            y = np.arange(split or x + 1, len(ids))
+            y = y[(comp[y] != comp[x]) & (ids[y] != ids[x]) & (100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x]))]
+            if len(y):
+                mine = have[x] - np.bitwise_count(sig[x] & ~sig[y]).sum(1, dtype=np.int64)
+                its = have[y] - np.bitwise_count(sig[y] & ~sig[x]).sum(1, dtype=np.int64)
+                most = np.minimum(mine, its)
+                y = y[100 * most >= percent * (n[x] + n[y] - most)]
+                out.append(np.stack([np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])], 1))
+        both = np.concatenate(out)
+        return pa.table({"a": both[:, 0], "b": both[:, 1]})
+
+    return run
+
+
 def _links(sets: DataFrame, percent: int) -> DataFrame:
     """Component of every set that has links: (id, component)."""
     spark = sets.sparkSession
     lists = sets.select("id", "n", F.explode("p1").alias("tok"))
     several = lists.groupBy("tok").agg(F.count("*").alias("c")).where("c > 1").select("tok")
     lists = C.stage(lists.join(several, "tok", "left_semi"), "ngram-lists")
-    size = lists.count()
     fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
     comp = spark.createDataFrame([], "id long, component long")
-    links, state, last, stuck = None, None, False, False
-    while size and not last:
+    links, state, before, last = None, None, None, False
+    while not last:
         if state is None:
             members = lists.withColumns({"component": F.col("id"), "degree": F.lit(0).cast("long")})
         else:
-            members = lists.join(state, "id", "left").withColumns({"component": F.coalesce("component", "id"), "degree": F.coalesce("degree", F.lit(0))})
+            known = state.select(F.col("id").alias("member"), "component", "degree")
+            members = lists.join(known, F.col("id") == F.col("member"), "left").withColumns({"component": F.coalesce("component", "id"), "degree": F.coalesce("degree", F.lit(0))}).drop("member")
         by = members.groupBy("tok", "component").agg(F.count("*").alias("c"), F.max(F.struct("degree", (-F.col("id")).alias("x"), "n", F.col("component").alias("hc"))).alias("hub"))
         by = by.groupBy("tok").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("cc"), F.count("*").alias("comps"), F.max("hub").alias("hub")).where("comps > 1")
-        by = C.stage(by.select("tok", "hub", ((F.col("c") * F.col("c") - F.col("cc")) / 2).alias("pairs")), "ngram-hubs")
-        left = by.agg(F.sum("pairs")).first()[0] or 0
-        if not left:
+        by = C.stage(by.select("tok", "hub", "c", ((F.col("c") * F.col("c") - F.col("cc")) / 2).alias("pairs")), "ngram-hubs")
+        left = by.agg(F.sum("pairs"), F.sum("c")).first()
+        if not left[0]:
             break
-        last = left <= 4 * size or stuck
-        again = members.join(by.select("tok", "hub"), "tok")
+        last = left[0] <= 8 * left[1] or (before is not None and left[0] > before / 2)
+        before = left[0]
+        again = members.join(by.select("tok", "hub", F.ceil(F.col("c") / BLOCK).alias("blocks")), "tok")
         if last:
-            x = again.select("tok", F.col("id").alias("a"), F.col("n").alias("an"), F.col("component").alias("ac"))
-            y = again.select("tok", F.col("id").alias("b"), F.col("n").alias("bn"), F.col("component").alias("bc"))
-            pairs = x.join(y, "tok").where((F.col("a") < F.col("b")) & (F.col("ac") != F.col("bc")) & fits(F.col("an"), F.col("bn"))).select("a", "b")
+            block = F.pmod(F.xxhash64("id"), F.col("blocks"))
+            own = sets.select(F.col("id").alias("member"), F.size("toks").cast("long").alias("have"), "sig")
+            again = again.join(own, F.col("id") == F.col("member")).withColumn("block", block).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+            again = again.select("tok", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "id", "n", "have", "component", "sig")
+            pairs = again.groupBy("tok", "i", "j").applyInArrow(_scan(percent), "a long, b long")
         else:
             hub = -F.col("hub.x")
             pairs = again.where((F.col("component") != F.col("hub.hc")) & fits(F.col("n"), F.col("hub.n"))).select(F.least("id", hub).alias("a"), F.greatest("id", hub).alias("b"))
         found = C.stage(_verified(pairs.distinct(), sets, percent), "ngram-links")
-        stuck = found.isEmpty()
-        if not stuck:
+        if not found.isEmpty():
             links = found if links is None else links.union(found)
             comp = connected_components(links)
-            degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
-            state = C.stage(comp.join(degree, "id"), "ngram-state")
+            if not last:
+                degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
+                state = C.stage(comp.join(degree, "id"), "ngram-state")
     return comp
 
 
@@ -294,7 +332,7 @@ def ngram_jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) ->
     same = ["d1", "d2", "n"]
     groups = C.stage(sets.where("n > 0").groupBy(*same).agg(F.min("doc_id").alias("id")), "ngram-groups")
     alive = sets.where(F.col("toks").isNotNull() & F.col("doc_id").isNotNull()).join(groups.where("id is not null").select("id"), F.col("doc_id") == F.col("id"), "left_semi")
-    alive = C.stage(alive.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "n", "toks", "p1", "p2", "p3"), "ngram-alive")
+    alive = C.stage(alive.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "n", "toks", "p1", "p2", "p3", "sig"), "ngram-alive")
     comp = _links(alive, percent)
     groups = groups.join(comp, "id", "left").select(*same, F.coalesce("component", "id").alias("component"))
     out = sets.select("doc_id", *same).join(groups, same, "left")
