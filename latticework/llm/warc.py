@@ -116,7 +116,7 @@ def _open(folder: str):
     system, path = fs.FileSystem.from_uri(folder)
 
     def put(name: str, content: bytes) -> str:
-        with system.open_output_stream(f"{path}/{name}") as f:
+        with system.open_output_stream(f"{path}/{name}", compression=None) as f:
             f.write(content)
         return f"{folder}/{name}"
 
