@@ -38,10 +38,10 @@ def targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST_COPIES) -> DataF
     everything = Window.partitionBy()
     order = Window.orderBy(F.col("cap") / F.col("w"), F.col("source").asc_nulls_last())
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    t = t.withColumns({"T": F.sum("source_size").over(everything), "W": F.sum("w").over(everything), "C": F.coalesce(F.sum("cap").over(before), F.lit(0.0)), "V": F.coalesce(F.sum("w").over(before), F.lit(0.0))})
-    t = t.withColumn("capped", (F.col("T") - F.col("C")) / (F.col("W") - F.col("V")) * F.col("w") > F.col("cap"))
+    t = t.withColumns({"all_size": F.sum("source_size").over(everything), "all_w": F.sum("w").over(everything), "cap_before": F.coalesce(F.sum("cap").over(before), F.lit(0.0)), "w_before": F.coalesce(F.sum("w").over(before), F.lit(0.0))})
+    t = t.withColumn("capped", (F.col("all_size") - F.col("cap_before")) / (F.col("all_w") - F.col("w_before")) * F.col("w") > F.col("cap"))
     full = lambda c: F.coalesce(F.sum(F.when(F.col("capped"), F.col(c))).over(everything), F.lit(0.0))
-    level = F.try_divide(F.col("T") - full("cap"), F.col("W") - full("w"))
+    level = F.try_divide(F.col("all_size") - full("cap"), F.col("all_w") - full("w"))
     return t.withColumn("target", F.when(F.col("capped"), F.col("cap")).otherwise(F.least("cap", level * F.col("w")))).select("source", "source_size", "target")
 
 
