@@ -110,8 +110,7 @@ def fullest(counts: np.ndarray, room: int) -> list[tuple[int, int]]:
     return list(found.items())
 
 
-def minimum_bin_slack(histogram: dict[int, int], capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
-    """Bins as (how many alike, [(length, pieces of it in each)])."""
+def _fill(histogram: dict[int, int], capacity: int, share: int) -> list[tuple[int, list[tuple[int, int]]]]:
     counts = np.zeros(capacity + 1, np.int64)
     for length, n in histogram.items():
         counts[length] = n
@@ -122,13 +121,23 @@ def minimum_bin_slack(histogram: dict[int, int], capacity: int) -> list[tuple[in
         inside = dict(fullest(counts, capacity - longest))
         counts[longest] += 1
         inside[longest] = inside.get(longest, 0) + 1
-        times = min(int(counts[length]) // n for length, n in inside.items())
+        times = max(1, min(int(counts[length]) // n for length, n in inside.items()) // share)
         for length, n in inside.items():
             counts[length] -= n * times
         bins.append((times, sorted(inside.items(), reverse=True)))
     return bins
 
 
+def minimum_bin_slack(histogram: dict[int, int], capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
+    """Bins as (how many alike, [(length, pieces of it in each)]).
+
+    A combination is removed as often as it can be, or half or an eighth as often; the plan with
+    the fewest bins is returned.
+    """
+    plans = [_fill(histogram, capacity, share) for share in (1, 2, 8)]
+    return min(plans, key=lambda bins: sum(times for times, _ in bins))
+
+
 def _places(bins, capacity: int):
     """For each length: the first rank of every kind of bin, pieces per bin, first bin, offset in it."""
     places: dict[int, list[tuple[int, int, int, int]]] = {}
