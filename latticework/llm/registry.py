@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from latticework.llm import common as C
-from latticework.llm import exact_dedup
+from latticework.llm import exact_dedup, sql
 from latticework.llm.license_scan import scan_licenses
 from latticework.llm.ngram_join import ngram_jaccard_components
 from latticework.llm.packing import pack_documents
@@ -28,7 +28,8 @@ def op1_ngram_join(spark, sf_dir):
 
 
 def op2_url_reputation(spark, sf_dir):
-    return filter_urls(C.read(spark, sf_dir, "pages"), page_outcomes(C.read(spark, sf_dir, "labels")))
+    out = filter_urls(C.read(spark, sf_dir, "pages"), page_outcomes(C.read(spark, sf_dir, "labels")))
+    return out.select("page_id", "host", "path", "rule", "verdict")
 
 
 def op3_source_mixing(spark, sf_dir):
@@ -45,7 +46,7 @@ def op5_secret_scan(spark, sf_dir):
 
 
 def op6_quality_rules(spark, sf_dir):
-    return judge_documents(C.read(spark, sf_dir, "documents"))
+    return judge_documents(C.read(spark, sf_dir, "documents")).drop("host", "host_rate", "host_low")
 
 
 def op7_quality_classifier(spark, sf_dir):
@@ -69,4 +70,11 @@ QUERIES = {
     f.__name__: f
     for f in (op1_ngram_join, op2_url_reputation, op3_source_mixing, op4_packing, op5_secret_scan, op6_quality_rules, op7_quality_classifier, op8_license_scan, op9_exact_dedup, op10_warc)
 }
-ORACLES = {"op9_exact_dedup": exact_dedup.ORACLE}
+ORACLES = {
+    "op1_ngram_join": sql.NGRAM_JOIN,
+    "op2_url_reputation": sql.URL_REPUTATION,
+    "op3_source_mixing": sql.SOURCE_MIXING,
+    "op6_quality_rules": sql.QUALITY_RULES,
+    "op9_exact_dedup": exact_dedup.ORACLE,
+    "op10_warc": sql.WARC,
+}
