@@ -25,6 +25,21 @@ def adjacency(voxels: DataFrame, label: str = "label", kind: str = "corners26",
     return pairs.select(F.least(label, "_l").alias("src"), F.greatest(label, "_l").alias("dst")).distinct()
 
 
+def touched_adjacency(voxels: DataFrame, labels: DataFrame, distance: str, least: float, label: str = "label") -> DataFrame:
+    """Edges of the labels that a split touched, rebuilt from all 26 neighbours with a distance above least."""
+    e = adjacency(voxels.where(F.col(distance) > least), label, "26", False)
+    t = labels.select(F.col("label").alias("_t"))
+    own = lambda end: e.join(t, F.col(end) == F.col("_t"), "left_semi")
+    return own("src").union(own("dst")).distinct()
+
+
+def connecting_edges(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """Pairs (label, other) with whether an edge connects them, in either direction."""
+    e = edges.select("src", "dst", F.lit(True).alias("connected")).distinct()
+    lo, hi = F.least("label", "other"), F.greatest("label", "other")
+    return pairs.join(e, (lo == F.col("src")) & (hi == F.col("dst")), "left").select("label", "other", F.coalesce("connected", F.lit(False)).alias("connected"))
+
+
 def contacts(voxels: DataFrame, label: str = "label") -> DataFrame:
     """Face contacts between different labels, background included: (src < dst, faces)."""
     pairs = neighbor_pairs(voxels, forward("6"), (label,), {"_l": label}).where(F.col(label) != F.col("_l"))

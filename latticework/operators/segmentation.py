@@ -230,6 +230,22 @@ def critical_points(edges: DataFrame) -> DataFrame:
     return t.withColumn("kind", kind)
 
 
+def critical_edges(edges: DataFrame, rounds: int = 64) -> DataFrame:
+    """(lower, higher) between critical points: regular nodes of a tree are passed over, by pointer doubling."""
+    edges = cut(edges)
+    regular = critical_points(edges).where("kind = 'regular'").select(F.col("idx").alias("lower"))
+    up = cut(edges.join(regular, "lower").select(F.col("lower").alias("node"), F.col("higher").alias("to")))
+    for _ in range(rounds):
+        further = up.select(F.col("node").alias("to"), F.col("to").alias("next"))
+        step = cut(up.join(further, "to", "left").select("node", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moved")))
+        up = step.select("node", "to")
+        if step.where("moved").isEmpty():
+            break
+    starts = edges.join(regular, "lower", "left_anti")
+    out = starts.join(up.withColumnRenamed("node", "higher"), "higher", "left")
+    return out.select("lower", F.coalesce("to", "higher").alias("higher"))
+
+
 def maxima_and_saddles(edges: DataFrame) -> DataFrame:
     """Maxima (none higher) and merge saddles (several higher) of a compact join tree."""
     t = critical_points(edges)

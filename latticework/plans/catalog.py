@@ -543,6 +543,20 @@ def _(spark, d):
     return R.exterior_field(R.contacts(v, "a"), stats(v).select("label", F.col("n").cast("double").alias("value")))
 
 
+@q(
+    "post_split_edges", "src:l dst:l",
+    "SELECT DISTINCT least(p.a, q.a) AS src, greatest(p.a, q.a) AS dst FROM vox p CROSS JOIN half26 o JOIN vox q ON q.x = p.x + o.dx AND q.y = p.y + o.dy AND q.z = p.z + o.dz WHERE p.a > 0 AND q.a > 0 AND p.a <> q.a AND p.v > 130 AND q.v > 130 AND (p.a IN (3, 7) OR q.a IN (3, 7))",
+)
+def _(spark, d):
+    return R.touched_adjacency(vox(spark, d), spark.createDataFrame([(3,), (7,)], "label int"), "v", 130, "a")
+
+
+@q("connecting_edges", "label:l other:l connected:b", "SELECT label, label - 1 AS other, EXISTS (SELECT 1 FROM edges WHERE src = label - 1 AND dst = label) AS connected FROM stats")
+def _(spark, d):
+    v = vox(spark, d)
+    return R.connecting_edges(stats(v).select("label", (F.col("label") - 1).alias("other")), edges(v))
+
+
 @q("color_regions", "label:l color:l")
 def _(spark, d):
     v = vox(spark, d)
@@ -597,6 +611,11 @@ def _(spark, d):
     return S.critical_points(S.tree_edges(_field(spark, d), 150))
 
 
+@q("critical_edges", "lower:l higher:l")
+def _(spark, d):
+    return S.critical_edges(S.tree_edges(_field(spark, d), 150))
+
+
 @q("maxima_and_saddles", "idx:l kind:s")
 def _(spark, d):
     return S.maxima_and_saddles(S.tree_edges(_field(spark, d), 150))

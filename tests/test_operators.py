@@ -159,6 +159,7 @@ def test_trees_span_their_components(spark):
     assert edges == {(2, 1), (4, 3), (4, 5), (2, 4), (0, 2), (6, 0)}
     kinds = {r.idx: r.kind for r in S.critical_points(S.tree_edges(v, 0.0)).collect()}
     assert [kinds[i] for i in range(7)] == ["regular", "max", "saddle", "max", "saddle", "max", "min"]
+    assert {(r.lower, r.higher) for r in S.critical_edges(S.tree_edges(v, 0.0)).collect()} == {(2, 1), (4, 3), (4, 5), (2, 4), (6, 2)}
     assert {(r.lower, r.higher) for r in S.contour_tree(v, 0.0).collect()} == {(0, 1), (2, 1), (2, 3), (4, 3), (4, 5), (6, 5)}
 
 

@@ -8,7 +8,7 @@ import pytest
 
 from latticework.plans import registry
 
-SLOW = {"segment_sweep", "contour_tree", "branch_components", "maxima_and_saddles", "critical_points", "join_tree", "split_tree", "segment_adaptive", "segment_value_order"}
+SLOW = {"segment_sweep", "contour_tree", "branch_components", "maxima_and_saddles", "critical_points", "critical_edges", "join_tree", "split_tree", "segment_adaptive", "segment_value_order"}
 
 
 @pytest.fixture(scope="session")
