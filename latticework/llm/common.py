@@ -67,7 +67,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)
-_BLOCK = 1 << 21
+_BLOCK = 1 << 18
 _SEP = np.zeros(256, bool)
 _SEP[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)

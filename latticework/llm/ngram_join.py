@@ -40,7 +40,7 @@ from latticework.llm.components import connected_components
 
 _U = np.uint64
 _TOK = _U((1 << 48) - 1)
-CHUNK_BYTES = 6_000_000
+CHUNK_BYTES = 3_000_000
 CHUNK_DOCS = 40_000
 BLOCK = 4_096
 SIGNATURE_BITS = 1_024

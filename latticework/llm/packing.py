@@ -36,8 +36,13 @@ def _encoder(path: str):
     """
     from tokenizers import Tokenizer
 
-    whole = Tokenizer.from_file(path)
-    plain = lambda text: whole.encode(text, add_special_tokens=False).ids
+    whole: list = []  # loaded when a text first needs it
+
+    def plain(text: str) -> list[int]:
+        if not whole:
+            whole.append(Tokenizer.from_file(path))
+        return whole[0].encode(text, add_special_tokens=False).ids
+
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
@@ -76,7 +81,7 @@ def _tokenized(path: str, capacity: int, with_ids: bool):
             _encoders[path] = _encoder(path)
         encode = _encoders[path]
         for batch in batches:
-            for part in C.slices(batch, "text", 4_000_000, 10_000):
+            for part in C.slices(batch, "text", 1_000_000, 10_000):
                 out = []
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     ids = np.array([*encode(text or ""), END_ID], "<u4")

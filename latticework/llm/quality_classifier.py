@@ -76,7 +76,7 @@ def _views(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 def _extract(batches):
     for batch in batches:
-        for part in C.slices(batch, "text", 4_000_000, 2_000):
+        for part in C.slices(batch, "text", 2_000_000, 1_000):
             t, m = _views(part)
             pack = lambda x: pa.array([r.astype("<f2").tobytes() for r in x], pa.binary())
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pack(t), pack(m)], ["doc_id", "label", "text_view", "meta_view"])
@@ -156,7 +156,7 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED
 def _score(model, least: float):
     def run(batches):
         for batch in batches:
-            for part in C.slices(batch, "text", 4_000_000, 2_000):
+            for part in C.slices(batch, "text", 2_000_000, 1_000):
                 if model is None:
                     z = [np.zeros(part.num_rows)] * 2
                     total = z[0]

@@ -69,7 +69,7 @@ def text_statistics(texts: pa.Array) -> dict[str, np.ndarray]:
 
 def _measure(batches):
     for batch in batches:
-        for part in C.slices(batch, "text", 8_000_000, 20_000):
+        for part in C.slices(batch, "text", 2_000_000, 20_000):
             stats = text_statistics(part.column(part.schema.get_field_index("text")))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *[pa.array(stats[c]) for c in _STATS]], ["doc_id", "host", *_STATS])
 
