@@ -17,25 +17,25 @@ from latticework.llm.registry import tokenizer_path
 from latticework.llm.source_mixing import mix_sources
 
 
-def _only(docs, ids, name):
-    """The rows of docs with these ids. Ids are unique in documents."""
-    ids = C.stage(ids, name)
-    return docs.join(ids, "doc_id", "left_semi").select(*docs.columns)
+def _kept(docs, verdicts, kept):
+    """The rows of docs that verdicts keep: an id goes if none of its rows is kept. Rows without an id stay."""
+    gone = verdicts.where("doc_id is not null").groupBy("doc_id").agg(F.max(kept.cast("int")).alias("kept")).where("kept = 0")
+    return C.without_rows(docs, gone.select("doc_id"))
 
 
 def quality_rules(spark, docs, sf_dir):
     """Documents that the rules reject go."""
-    return _only(docs, judge_documents(docs).where("kept").select("doc_id"), "pipeline-rules")
+    return _kept(docs, judge_documents(docs), F.col("kept"))
 
 
 def exact_dedup(spark, docs, sf_dir):
     """Of equal texts the row with the largest doc_id stays."""
-    return _only(docs, exact_duplicates(docs).where("kept").select("doc_id"), "pipeline-exact")
+    return _kept(docs, exact_duplicates(docs), F.col("kept"))
 
 
 def ngram_join(spark, docs, sf_dir):
     """Of each group of near duplicates the smallest doc_id stays."""
-    return _only(docs, ngram_jaccard_components(docs).where("doc_id = component_id").select("doc_id"), "pipeline-near")
+    return _kept(docs, ngram_jaccard_components(docs), F.col("doc_id") == F.col("component_id"))
 
 
 def mix(spark, docs, sf_dir):

@@ -233,3 +233,19 @@ def test_pipeline_keeps_what_it_should(spark, sf_dir, tmp_path):
     assert kept[3] <= kept[2] and len(kept[3]) > 10
     out = corpus_pipeline.STAGES[-1][1](spark, d, sf_dir)
     assert {x.doc_id for x in out.select("doc_id").collect()} == kept[3]
+
+
+def test_without_rows_is_an_anti_join(spark, monkeypatch):
+    from latticework.llm import common as C
+
+    r = random.Random(11)
+    d = spark.createDataFrame([(None if i % 50 == 0 else r.randrange(-(2**40), 2**40) if i % 2 else i, f"t{i}") for i in range(2000)], "doc_id long, text string")
+    ids = [x.doc_id for x in d.collect() if x.doc_id is not None]
+    gone = r.sample(ids, 700) + [-1, 10**15]
+    for bits in (C.FILTER_BITS, 1 << 15, 1 << 16):
+        monkeypatch.setattr(C, "FILTER_BITS", bits)
+        out = C.without_rows(d, spark.createDataFrame([(x,) for x in gone], "doc_id long"))
+        want = sorted(x.text for x in d.collect() if x.doc_id is None or x.doc_id not in set(gone))
+        assert sorted(x.text for x in out.collect()) == want and out.columns == d.columns
+    hits = C.without_rows(d, spark.createDataFrame([], "doc_id long"))
+    assert hits.count() == 2000
