@@ -43,6 +43,7 @@ _TOK = _U((1 << 48) - 1)
 CHUNK_BYTES = 3_000_000
 CHUNK_DOCS = 40_000
 BLOCK = 4_096
+PAIRS_AT_ONCE = 500_000
 SIGNATURE_BITS = 1_024
 _BLOCKS = "kind int, part int, chunk long, docs binary, toks binary"
 _SETS = "doc_id long, n long, d1 long, d2 long, toks array<long>, p1 array<long>, p2 array<long>, p3 array<long>, sig binary"
@@ -248,31 +249,54 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _scan(percent: int):
-    """Within the members of a shingle (or two blocks of them): pairs of different components that may link.
+    """Pairs of members of one list (or of two blocks of it) that may link, of different components.
 
-    A shingle whose bit the other signature lacks is not in the other set; what is left bounds the overlap.
+    Rows come sorted by list. A shingle whose bit the other signature lacks is not in the other
+    set; what is left bounds the overlap from above. A list goes on in the next batch at most
+    until its blocks end, so what is held is bounded.
     """
+    names = ["tok", "i", "j", "block", "id", "n", "have", "component"]
+
+    def pairs(t: pa.Table):
+        tok, i, j, block, ids, n, have, comp = (t.column(c).to_numpy() for c in names)
+        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), "<u8").reshape(len(ids), -1)
+        new = np.ones(len(ids), bool)
+        new[1:] = (tok[1:] != tok[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+        ends = np.append(np.flatnonzero(new)[1:], len(ids))
+        after = ends[np.cumsum(new) - 1] - np.arange(len(ids)) - 1
+        upto = np.cumsum(after)
+        at = 0
+        while at < len(ids):
+            stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS_AT_ONCE, side="right")))
+            count = after[at:stop]
+            x = np.repeat(np.arange(at, stop), count)
+            y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(count) - count, count)
+            ok = (comp[x] != comp[y]) & (ids[x] != ids[y]) & ((i[x] == j[x]) | (block[x] != block[y]))
+            ok &= 100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])
+            x, y = x[ok], y[ok]
+            mine = have[x] - np.bitwise_count(sig[x] & ~sig[y]).sum(1, dtype=np.int64)
+            its = have[y] - np.bitwise_count(sig[y] & ~sig[x]).sum(1, dtype=np.int64)
+            most = np.minimum(mine, its)
+            ok = 100 * most >= percent * (n[x] + n[y] - most)
+            x, y = ids[x[ok]], ids[y[ok]]
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+            at = stop
 
-    def run(table: pa.Table) -> pa.Table:
-        ids, n, have, comp, block = (table.column(c).to_numpy() for c in ("id", "n", "have", "component", "block"))
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), "<u8").reshape(len(ids), -1)
-        low, high = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        order = np.argsort(block, kind="stable")
-        ids, n, have, comp, sig = (x[order] for x in (ids, n, have, comp, sig))
-        first = np.flatnonzero(block[order] == low)
-        split = len(first) if low != high else 0
-        out = [np.zeros((0, 2), np.int64)]
-        for x in first:
-            y = np.arange(split or x + 1, len(ids))
-            y = y[(comp[y] != comp[x]) & (ids[y] != ids[x]) & (100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x]))]
-            if len(y):
-                mine = have[x] - np.bitwise_count(sig[x] & ~sig[y]).sum(1, dtype=np.int64)
-                its = have[y] - np.bitwise_count(sig[y] & ~sig[x]).sum(1, dtype=np.int64)
-                most = np.minimum(mine, its)
-                y = y[100 * most >= percent * (n[x] + n[y] - most)]
-                out.append(np.stack([np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])], 1))
-        both = np.concatenate(out)
-        return pa.table({"a": both[:, 0], "b": both[:, 1]})
+    def run(batches):
+        held = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t = pa.Table.from_batches([*held, batch])
+            key = np.stack([t.column(c).to_numpy() for c in ("tok", "i", "j")])
+            cut = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0))
+            cut = cut[-1] + 1 if len(cut) else 0
+            if cut:
+                yield from pairs(t.slice(0, cut))
+            held = t.slice(cut).to_batches()
+        if held:
+            yield from pairs(pa.Table.from_batches(held))
 
     return run
 
@@ -306,7 +330,8 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
             own = sets.select(F.col("id").alias("member"), F.size("toks").cast("long").alias("have"), "sig")
             again = again.join(own, F.col("id") == F.col("member")).withColumn("block", block).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
             again = again.select("tok", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "id", "n", "have", "component", "sig")
-            pairs = again.groupBy("tok", "i", "j").applyInArrow(_scan(percent), "a long, b long")
+            again = again.repartition("tok", "i", "j").sortWithinPartitions("tok", "i", "j")
+            pairs = again.mapInArrow(_scan(percent), "a long, b long")
         else:
             hub = -F.col("hub.x")
             pairs = again.where((F.col("component") != F.col("hub.hc")) & fits(F.col("n"), F.col("hub.n"))).select(F.least("id", hub).alias("a"), F.greatest("id", hub).alias("b"))
