@@ -351,7 +351,8 @@ def ngram_jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) ->
     Null, empty and wordless texts have an empty set (0) and are their own component. With
     fewer than k words the whole sequence is the one shingle. A null doc_id reaches its
     component but never names it; alone, its component is null. Repeated rows give repeated
-    rows. Other columns are ignored.
+    rows; if rows of one doc_id differ in text, the links of one of their texts count. Other
+    columns are ignored.
     """
     sets = document_sets(docs, k, percent)
     same = ["d1", "d2", "n"]

@@ -75,6 +75,7 @@ ORACLES = {
     "op2_url_reputation": sql.URL_REPUTATION,
     "op3_source_mixing": sql.SOURCE_MIXING,
     "op6_quality_rules": sql.QUALITY_RULES,
+    "op8_license_scan": sql.LICENSE_SCAN,
     "op9_exact_dedup": exact_dedup.ORACLE,
     "op10_warc": sql.WARC,
 }
