@@ -71,6 +71,15 @@ class Rule:
         return lasting(top1) <= limit or n1 < self.min_size or lasting(top2) <= limit or n2 < self.min_size
 
 
+def remembered_persistence(persistence: float, width: float, mode: str) -> float:
+    """A persistence as a share of the width, as kept when mode or range change; only absolute ones need it."""
+    return persistence / width if mode == "absolute" and width else persistence
+
+
+def reapplied_persistence(share: float, width: float, mode: str) -> float:
+    return share * width if mode == "absolute" else share
+
+
 class Grid:
     """The voxels of one group in descending order of (value, idx), and who is beside whom."""
 

@@ -144,6 +144,12 @@ def test_segmentation_is_that_of_one_sweep(spark, rule):
     assert column(S.segment(v, 6.5, rule), "label") == plain_sweep(values, (6, 6, 6), 6.5, rule)
 
 
+def test_persistence_follows_a_new_range():
+    share = S.remembered_persistence(5.0, 100.0, "absolute")
+    assert S.reapplied_persistence(share, 40.0, "absolute") == 2.0
+    assert S.remembered_persistence(0.2, 100.0, "adaptive") == S.reapplied_persistence(0.2, 7.0, "relative") == 0.2
+
+
 def test_region_merges_count_the_segments(spark):
     r = np.random.RandomState(3)
     values = (r.permutation(125) / 10.0).tolist()
