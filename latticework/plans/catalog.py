@@ -665,7 +665,7 @@ def _(spark, d):
 _SEG = """seg AS (
   SELECT line_id, point_idx AS seg, x, y, z, data, lead(x) OVER w AS x1, lead(y) OVER w AS y1, lead(z) OVER w AS z1, lead(data) OVER w AS d1,
          lag(x) OVER w AS x0, lag(y) OVER w AS y0, lag(z) OVER w AS z0, lead(x, 2) OVER w AS x2, lead(y, 2) OVER w AS y2, lead(z, 2) OVER w AS z2 FROM pts WINDOW w AS (PARTITION BY line_id ORDER BY point_idx)),
-s AS (SELECT line_id, seg, x, y, z, x1, y1, z1, data, d1, coalesce(x0, 2*x-x1) AS prx, coalesce(y0, 2*y-y1) AS pry, coalesce(z0, 2*z-z1) AS prz, coalesce(x2, 2*x1-x) AS pox, coalesce(y2, 2*y1-y) AS poy, coalesce(z2, 2*z1-z) AS poz FROM seg WHERE x1 IS NOT NULL)"""
+s AS (SELECT line_id, seg, x, y, z, x1, y1, z1, data, d1, coalesce(x0, 2*x-x1) AS prx, coalesce(y0, 2*y-y1) AS pry, coalesce(z0, 2*z-z1) AS prz, coalesce(x2, 2*x1-x) AS pox, coalesce(y2, 2*y1-y) AS poy, coalesce(z2, 2*z1-z) AS poz, x2 IS NOT NULL AS more FROM seg WHERE x1 IS NOT NULL)"""
 
 
 @q("line_segments", "line_id:l seg:l prx:d pry:d prz:d x:d y:d z:d x1:d y1:d z1:d pox:d poy:d poz:d", f"WITH {_SEG} SELECT * FROM s")
@@ -674,7 +674,11 @@ def _(spark, d):
     return s.select("line_id", "seg", *[F.col(f"{p}.{c}").alias(n + c + e) for p, n, e in (("pre", "pr", ""), ("start", "", ""), ("end", "", "1"), ("post", "po", "")) for c in "xyz"])
 
 
-@q("line_bends", "line_id:l seg:l sphere:b", None)
+@q(
+    "line_bends", "line_id:l seg:l sphere:b",
+    f"""WITH {_SEG} SELECT line_id, seg, more AND coalesce(acos(greatest(-1.0, least(1.0, ((pox-x1)*(x-x1) + (poy-y1)*(y-y1) + (poz-z1)*(z-z1))
+  / nullif(sqrt((pox-x1)**2 + (poy-y1)**2 + (poz-z1)**2) * sqrt((x-x1)**2 + (y-y1)**2 + (z-z1)**2), 0)))) < 2.0, false) AS sphere FROM s""",
+)
 def _(spark, d):
     return LN.segments(pts(spark, d), "data", bend=2.0)
 
@@ -736,7 +740,11 @@ def _(spark, d):
     return vox(spark, d).select("idx", LN.colormap_texel(F.col("v"), F.lit(50.0), F.lit(300.0), 256).alias("texel"))
 
 
-@q("colormap_samples", "slot:l value:d r:l g:l b:l")
+@q(
+    "colormap_samples", "slot:l value:d r:l g:l b:l",
+    """SELECT slot, value, CASE WHEN f <= 1 THEN 0 ELSE floor((f - 1) * 255) END AS r, floor(CASE WHEN f <= 1 THEN f ELSE 2 - f END * 255) AS g, CASE WHEN f < 1 THEN floor((1 - f) * 255) ELSE 0 END AS b
+FROM (SELECT i AS slot, i - 1.0 AS value, greatest(0.0, least(2.0, (i - 1.0) / 253 * 2)) AS f FROM range(256) r(i))""",
+)
 def _(spark, d):
     ramp = spark.createDataFrame([(0, 0, 0, 255), (1, 0, 255, 0), (2, 255, 0, 0)], "idx int, r int, g int, b int")
     return LN.colormap_samples(ramp, 0.0, 253.0, 256)
