@@ -29,8 +29,8 @@ def text_statistics(texts: pa.Array) -> dict[str, np.ndarray]:
     starts, ends, doc = C.words(buf, off)
 
     def per_text(mask: np.ndarray) -> np.ndarray:
-        c = np.concatenate(([0], np.cumsum(mask, dtype=np.int64)))
-        return c[off[1:]] - c[off[:-1]]
+        at = np.flatnonzero(mask)
+        return np.searchsorted(at, off[1:]) - np.searchsorted(at, off[:-1])
 
     h = C.word_hashes(buf, starts, ends, lower=False)
     w = C.window_hashes(h, 3)
@@ -51,8 +51,7 @@ def text_statistics(texts: pa.Array) -> dict[str, np.ndarray]:
     line_starts = np.union1d(off[:-1][off[:-1] < len(buf)], breaks[breaks + 1 < len(buf)] + 1).astype(np.int64)
     line_ends = np.minimum(np.append(line_starts[1:], len(buf)), len(buf))
     line_ends = line_ends - ((line_ends > line_starts) & is_break[np.maximum(line_ends - 1, 0)]) if len(buf) else line_ends
-    first = np.concatenate(([0], np.cumsum(np.bincount(starts, minlength=len(buf)), dtype=np.int64))) if len(buf) else np.zeros(1, np.int64)
-    with_word = first[line_ends] > first[line_starts]
+    with_word = np.searchsorted(starts, line_ends) > np.searchsorted(starts, line_starts)
     line_starts, line_ends = line_starts[with_word], line_ends[with_word]
     line_doc = np.searchsorted(off, line_starts, side="right") - 1
     key = C.mix64(C.word_hashes(buf, line_starts, line_ends, lower=False) + line_doc.astype(_U) * _U(0x9E3779B97F4A7C15))
@@ -69,7 +68,7 @@ def text_statistics(texts: pa.Array) -> dict[str, np.ndarray]:
 
 def _measure(batches):
     for batch in batches:
-        for part in C.slices(batch, "text", 2_000_000, 20_000):
+        for part in C.slices(batch, "text", 1_000_000, 20_000):
             stats = text_statistics(part.column(part.schema.get_field_index("text")))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *[pa.array(stats[c]) for c in _STATS]], ["doc_id", "host", *_STATS])
 
