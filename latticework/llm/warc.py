@@ -23,6 +23,7 @@ from latticework.llm import common as C
 DICT_MAGIC = 0x184D2A5D
 ZSTD_MAGIC = b"\x28\xb5\x2f\xfd"
 ROLL_BYTES = 16_000_000
+FEED_BYTES = 16_384
 DICT_SAMPLE = 400
 DICT_BYTES = 32_768
 
@@ -90,12 +91,14 @@ def read_archive(data: bytes):
     while at < len(data):
         if bytes(view[at : at + 4]) != ZSTD_MAGIC:
             raise ValueError(f"no frame at byte {at}")
-        frame = reader.decompressobj()
-        out = frame.decompress(view[at:])
-        if not frame.eof:
-            raise ValueError(f"the frame at byte {at} is cut off")
-        at = len(data) - len(frame.unused_data)
-        yield parse_record(out)
+        frame, out, start = reader.decompressobj(), [], at
+        while not frame.eof:
+            if at >= len(data):
+                raise ValueError(f"the frame at byte {start} is cut off")
+            out.append(frame.decompress(view[at : at + FEED_BYTES]))
+            at = min(len(data), at + FEED_BYTES)
+        at -= len(frame.unused_data)
+        yield parse_record(b"".join(out))
 
 
 def train_dictionary(payloads: list[bytes], most: int = DICT_BYTES) -> bytes:
