@@ -84,11 +84,12 @@ def _extract(batches):
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, steps: int = 300) -> np.ndarray:
     """Logistic regression with classes of equal weight, by Adam from zero (deterministic)."""
+    x = np.ascontiguousarray(x, np.float32)  # products with doubles would copy it in every step
     w, m, v = (np.zeros(x.shape[1]) for _ in range(3))
     share = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
     for t in range(1, steps + 1):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ ((p - y) * share) + l2 * w
+        p = 1 / (1 + np.exp(-np.clip(x @ w.astype(np.float32), -30, 30)))
+        g = x.T @ ((p - y) * share).astype(np.float32) + l2 * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return w
