@@ -32,6 +32,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,7 +47,7 @@ BLOCK = 4_096
 PAIRS_AT_ONCE = 500_000
 SIGNATURE_BITS = 1_024
 _BLOCKS = "kind int, part int, chunk long, docs binary, toks binary"
-_SETS = "doc_id long, n long, d1 long, d2 long, toks array<long>, p1 array<long>, p2 array<long>, p3 array<long>, sig binary"
+_SETS = "row long, doc_id long, n long, d1 long, d2 long, toks array<long>, p1 array<long>, p2 array<long>, p3 array<long>, sig binary"
 
 
 def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -83,7 +84,7 @@ def _unpack(b: bytes) -> np.ndarray:
 def _blocks(parts: int, k: int):
     """Chunks to rows of kind 0 (entries to count), 1 (members of locally shared shingles), 2 (header)."""
 
-    def chunk_rows(part: pa.RecordBatch):
+    def chunk_rows(part: pa.RecordBatch, first: int):
         ids = part.column(0).to_pylist()
         doc, tok = shingle_sets(part.column(1), k)
         n = np.bincount(doc, minlength=len(ids)).astype("<i8")
@@ -93,7 +94,7 @@ def _blocks(parts: int, k: int):
             c = np.concatenate((np.zeros(1, _U), np.cumsum(C.mix64(tok + _U(salt)))))
             sums.append(c[edge[1:]] - c[edge[:-1]])
         head = pa.BufferOutputStream()
-        table = pa.table({"doc_id": pa.array(ids, pa.int64()), "n": n, "d1": sums[0].astype(np.int64), "d2": sums[1].astype(np.int64)})
+        table = pa.table({"row": first + np.arange(len(ids)), "doc_id": pa.array(ids, pa.int64()), "n": n, "d1": sums[0].astype(np.int64), "d2": sums[1].astype(np.int64)})
         with pa.ipc.new_stream(head, table.schema) as out:
             out.write_table(table)
         head = head.getvalue().to_pybytes()
@@ -116,10 +117,13 @@ def _blocks(parts: int, k: int):
             yield 0, int(p), chunk, who[i:j].tobytes() + count[i:j][shared].astype("<u2").tobytes(), _pack(uniq[i:j])
 
     def run(batches):
+        # row numbers by partition and chunk, so that chunks with the same rows differ
+        first = TaskContext.get().partitionId() << 40
         for batch in batches:
             rows = []
             for part in C.slices(batch, "text", CHUNK_BYTES, CHUNK_DOCS):
-                rows.extend(chunk_rows(part))
+                rows.extend(chunk_rows(part, first))
+                first += part.num_rows
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["kind", "part", "chunk", "docs", "toks"])
 
@@ -224,13 +228,13 @@ def _sets(percent: int):
                 sigs[i] = np.packbits(bits).tobytes()
                 for c, o in zip(("p1", "p2", "p3"), orders):
                     lists[c][i] = signed[o[a : a + p]]
-        return pa.table({**{c: head.column(c) for c in ("doc_id", "n", "d1", "d2")}, **{c: pa.array(v, list_type) for c, v in lists.items()}, "sig": pa.array(sigs, pa.binary())})
+        return pa.table({**{c: head.column(c) for c in ("row", "doc_id", "n", "d1", "d2")}, **{c: pa.array(v, list_type) for c, v in lists.items()}, "sig": pa.array(sigs, pa.binary())})
 
     return run
 
 
 def document_sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """A row per document: size and digest of its set; shared shingles and the prefixes under three
+    """A row per document: a number of its own, size and digest of its set; shared shingles and the prefixes under three
     orders where so many are shared that a partner is possible, else null. Staged."""
     spark = docs.sparkSession
     parts = min(60_000, C.shuffle_partitions(spark))

@@ -78,6 +78,17 @@ def test_ngram_join_odd_rows(spark):
     assert {d: sorted(v, key=str) for d, v in got.items()} == brute_links(texts)
 
 
+def test_ngram_join_of_chunks_with_the_same_rows(spark):
+    texts = near_copies(3, 24) + [(None, "a b c d e f"), (5000, "long " * 700_000)]
+    d = docs(spark, texts).coalesce(1)
+    rows = J.ngram_jaccard_components(d.union(d).union(d)).collect()
+    got = {}
+    for r in rows:
+        got.setdefault(r.doc_id, []).append((r.n_shingles, r.component_id))
+    assert len(rows) == 3 * len(texts)
+    assert {d: sorted(v, key=str) for d, v in got.items()} == brute_links(texts * 3)
+
+
 def test_ngram_join_empty(spark):
     out = J.ngram_jaccard_components(docs(spark, []))
     assert out.columns == ["doc_id", "n_shingles", "component_id"] and out.count() == 0
