@@ -23,7 +23,11 @@ representative's component. Links are followed hub by hub: in the list of a pref
 member with most links is compared with all members of other components. Where that no longer
 helps, every pair of members in different components is looked at, in blocks of bounded size,
 by signatures that bound the overlap from above; pairs that pass are verified. So no component
-is missed, and a group of near copies costs little more than its size.
+is missed, and the components of a group of near copies cost little more than its size.
+
+All links are inside components. Where they are asked for, every two sets of a component meet in one
+task, by pairs of blocks of bounded size, and their overlaps are counted exactly from lists by
+shingle. That is quadratic in a component's sets, as the number of its links may be.
 """
 
 from __future__ import annotations
@@ -44,6 +48,7 @@ _TOK = _U((1 << 48) - 1)
 CHUNK_BYTES = 3_000_000
 CHUNK_DOCS = 40_000
 BLOCK = 4_096
+BLOCK_TOKENS = 1_000_000
 PAIRS_AT_ONCE = 500_000
 SIGNATURE_BITS = 1_024
 _BLOCKS = "kind int, part int, chunk long, docs binary, toks binary"
@@ -349,21 +354,129 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
     return comp
 
 
-def ngram_jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+def _overlaps(percent: int, pairs: bool):
+    """All links of the sets of a component (or of two blocks of it): (a, b), or for each set (id, n_links),
+    the rows of the sets it links with. Rows come sorted by component and blocks."""
+
+    def group(t: pa.Table):
+        ids, n, size, block = (t.column(c).to_numpy() for c in ("id", "n", "size", "block"))
+        toks = t.column("toks").combine_chunks()
+        m, cross = len(ids), t.column("i")[0] != t.column("j")[0]
+        off = toks.offsets.to_numpy().astype(np.int64)
+        off = off - off[0]
+        _, tok = np.unique(toks.flatten().to_numpy(), return_inverse=True)
+        lists = np.argsort(tok, kind="stable")
+        holder = np.repeat(np.arange(m, dtype=np.int32), np.diff(off))[lists]
+        ends = np.cumsum(np.bincount(tok))
+        starts = np.concatenate(([0], ends[:-1])).astype(np.int64)
+        found, linked = [], np.zeros(m, np.int64)
+        for x in range(m):
+            mine = tok[off[x] : off[x + 1]]
+            starts[mine] += 1  # what is left of a list are the holders after x
+            count = ends[mine] - starts[mine]
+            at = np.arange(count.sum()) + np.repeat(starts[mine] - np.cumsum(count) + count, count)
+            common = np.bincount(holder[at], minlength=m)
+            ok = (common > 0) & (100 * common >= percent * (n[x] + n - common))
+            y = np.flatnonzero(ok & (block != block[x]) if cross else ok)
+            if len(y):
+                linked[x] += size[y].sum()
+                linked[y] += size[x]
+                if pairs:
+                    found.append((np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])))
+        if pairs:
+            return [np.concatenate(c) for c in zip(*found)] if found else None
+        return (ids[linked > 0], linked[linked > 0]) if linked.any() else None
+
+    def groups(t: pa.Table):
+        key = np.stack([t.column(c).to_numpy() for c in ("component", "i", "j")])
+        edge = np.concatenate(([0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1, [t.num_rows]))
+        some = []
+        for a, b in zip(edge[:-1], edge[1:]):
+            out = group(t.slice(a, b - a)) if b - a > 1 else None
+            if out is not None:
+                some.append(out)
+            if sum(len(c[0]) for c in some) > PAIRS_AT_ONCE or (b == t.num_rows and some):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*some)], ["a", "b"] if pairs else ["id", "n_links"])
+                some = []
+
+    def run(batches):
+        held = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = [[b.column(b.schema.get_field_index(c))[at].as_py() for c in ("component", "i", "j")] for b, at in ((held[-1], -1), (batch, 0), (batch, -1))] if held else None
+            if key and key[0] == key[1] == key[2]:
+                held.append(batch)
+                continue
+            t = pa.Table.from_batches([*held, batch])
+            key = np.stack([t.column(c).to_numpy() for c in ("component", "i", "j")])
+            cut = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0))
+            cut = cut[-1] + 1 if len(cut) else 0
+            if cut:
+                yield from groups(t.slice(0, cut))
+            held = t.slice(cut).to_batches()
+        if held:
+            yield from groups(pa.Table.from_batches(held))
+
+    return run
+
+
+def _all_links(sets: DataFrame, comp: DataFrame, percent: int, pairs: bool) -> DataFrame:
+    """Every link of sets (id, n, size, toks) in components (id, component), as _overlaps gives them."""
+    members = sets.join(comp, "id")
+    bounds = members.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.size("toks")) / BLOCK_TOKENS)).alias("blocks"))
+    rows = members.join(bounds, "component").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.select("component", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "id", "n", "size", "toks")
+    rows = rows.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
+    return rows.mapInArrow(_overlaps(percent, pairs), "a long, b long" if pairs else "id long, n_links long")
+
+
+_SAME = ["d1", "d2", "n"]
+
+
+def _joined(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Rows, groups of equal sets, one set of each group that may have partners, and components of those that have.
+
+    A set's id is the number of one of its rows, so that sets without a doc_id take part, too.
+    """
+    sets = document_sets(docs, k, percent)
+    groups = C.stage(sets.where("n > 0").groupBy(*_SAME).agg(F.min("row").alias("id"), F.min("doc_id").alias("least"), F.count("*").alias("size")), "ngram-groups")
+    alive = sets.where(F.col("toks").isNotNull()).join(groups.select("id", "size"), F.col("row") == F.col("id"))
+    alive = C.stage(alive.select("id", "size", "n", "toks", "p1", "p2", "p3", "sig"), "ngram-alive")
+    return sets, groups, alive, _links(alive, percent)
+
+
+def ngram_jaccard_links(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """One row per two different sets that link: a, b (the smallest doc_id of each, null where only
+    rows without one hold the set), a_rows, b_rows (how many rows hold them)."""
+    _, groups, alive, comp = _joined(docs, k, percent)
+    links = _all_links(alive.select("id", "n", "size", "toks"), comp, percent, pairs=True)
+    for c in ("a", "b"):
+        own = groups.select(F.col("id").alias(c), F.col("least").alias(f"{c}_least"), F.col("size").alias(f"{c}_rows"))
+        links = links.join(own, c)
+    return links.select(F.col("a_least").alias("a"), F.col("b_least").alias("b"), "a_rows", "b_rows")
+
+
+def ngram_jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, links: bool = False) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links).
 
+    With ``links`` also n_links: the other rows that a row links with, those of equal sets included.
+
     Null, empty and wordless texts have an empty set (0) and are their own component. With
     fewer than k words the whole sequence is the one shingle. A null doc_id reaches its
     component but never names it; alone, its component is null. Repeated rows give repeated
-    rows; if rows of one doc_id differ in text, the links of one of their texts count. Other
-    columns are ignored.
+    rows; rows of one doc_id that differ in text go each by its own text. Other columns are
+    ignored.
     """
-    sets = document_sets(docs, k, percent)
-    same = ["d1", "d2", "n"]
-    groups = C.stage(sets.where("n > 0").groupBy(*same).agg(F.min("doc_id").alias("id")), "ngram-groups")
-    alive = sets.where(F.col("toks").isNotNull() & F.col("doc_id").isNotNull()).join(groups.where("id is not null").select("id"), F.col("doc_id") == F.col("id"), "left_semi")
-    alive = C.stage(alive.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "n", "toks", "p1", "p2", "p3", "sig"), "ngram-alive")
-    comp = _links(alive, percent)
-    groups = groups.join(comp, "id", "left").select(*same, F.coalesce("component", "id").alias("component"))
-    out = sets.select("doc_id", *same).join(groups, same, "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    sets, groups, alive, comp = _joined(docs, k, percent)
+    named = C.stage(comp.join(groups.select("id", "least"), "id"), "ngram-components")
+    named = named.join(named.groupBy("component").agg(F.min("least").alias("name")), "component").select("id", "name")
+    counts = []
+    groups = groups.join(named, "id", "left").withColumn("component", F.coalesce("name", "least"))
+    if links:
+        found = _all_links(alive.select("id", "n", "size", "toks"), comp, percent, pairs=False).groupBy("id").agg(F.sum("n_links").alias("n_links"))
+        groups = groups.join(found, "id", "left").withColumn("links", F.coalesce("n_links", F.lit(0)) + F.col("size") - 1)
+        counts = [F.coalesce("links", F.lit(0)).alias("n_links")]
+    out = sets.select("doc_id", *_SAME).join(groups.drop("id", "least", "size", "name", "n_links"), _SAME, "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), *counts)

@@ -27,6 +27,10 @@ def op1_ngram_join(spark, sf_dir):
     return ngram_jaccard_components(C.read(spark, sf_dir, "documents"), k=5, percent=80)
 
 
+def op1_ngram_links(spark, sf_dir):
+    return ngram_jaccard_components(C.read(spark, sf_dir, "documents"), k=5, percent=80, links=True)
+
+
 def op2_url_reputation(spark, sf_dir):
     out = filter_urls(C.read(spark, sf_dir, "pages"), page_outcomes(C.read(spark, sf_dir, "labels")))
     return out.select("page_id", "host", "path", "rule", "verdict")
@@ -68,10 +72,11 @@ def op10_warc(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_ngram_join, op2_url_reputation, op3_source_mixing, op4_packing, op5_secret_scan, op6_quality_rules, op7_quality_classifier, op8_license_scan, op9_exact_dedup, op10_warc)
+    for f in (op1_ngram_join, op1_ngram_links, op2_url_reputation, op3_source_mixing, op4_packing, op5_secret_scan, op6_quality_rules, op7_quality_classifier, op8_license_scan, op9_exact_dedup, op10_warc)
 }
 ORACLES = {
     "op1_ngram_join": sql.NGRAM_JOIN,
+    "op1_ngram_links": sql.NGRAM_LINKS,
     "op2_url_reputation": sql.URL_REPUTATION,
     "op3_source_mixing": sql.SOURCE_MIXING,
     "op6_quality_rules": sql.QUALITY_RULES,

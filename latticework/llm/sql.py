@@ -22,6 +22,10 @@ e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 reach(doc_id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.c FROM reach r JOIN e ON e.a = r.doc_id)
 SELECT doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.c) AS component_id FROM reach r LEFT JOIN n USING (doc_id) GROUP BY doc_id
 """
+_HEAD, _ROWS = NGRAM_JOIN.rstrip().rsplit("\n", 1)
+NGRAM_LINKS = f"""{_HEAD}
+SELECT j.*, coalesce(c, 0) AS n_links FROM ({_ROWS}) j LEFT JOIN (SELECT a AS doc_id, count(*) AS c FROM e GROUP BY a) USING (doc_id)
+"""
 
 
 def _rules() -> str:

@@ -70,6 +70,31 @@ def test_ngram_join_is_brute_force(spark, seed, monkeypatch):
     assert {d: sorted(v, key=str) for d, v in got.items()} == brute_links(texts)
 
 
+def test_ngram_links_are_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(J, "BLOCK", 8)
+    texts = near_copies(5, 120)
+    texts += [(None, texts[0][1]), (None, texts[1][1] + " own"), (None, texts[1][1] + " own"), (texts[2][0], texts[3][1]), (2000, None), (2001, " ")]
+    sets = []
+    for _, t in texts:
+        w = re.findall(C.WORD, (t or "").translate(str.maketrans(C.ASCII_UPPER, C.ASCII_LOWER)))
+        sets.append(frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) or frozenset([tuple(w)] if w else []))
+    linked = lambda a, b: len(a & b) and 100 * len(a & b) >= 80 * len(a | b)
+    want = sorted((str(d), len(s), sum(1 for j, o in enumerate(sets) if j != i and linked(s, o))) for i, ((d, _), s) in enumerate(zip(texts, sets)))
+    got = J.ngram_jaccard_components(docs(spark, texts), links=True).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, r.n_links) for r in got) == want
+    different = list(dict.fromkeys(sets))
+    rows = J.ngram_jaccard_links(docs(spark, texts)).collect()
+    assert len(rows) == sum(1 for i, a in enumerate(different) for b in different[:i] if linked(a, b))
+    assert sum(2 * r.a_rows * r.b_rows for r in rows) == sum(n for _, _, n in want) - sum(1 for i, a in enumerate(sets) for j, b in enumerate(sets) if i != j and a and a == b)
+
+
+def test_chain_over_a_row_without_an_id(spark):
+    w = [f"c{i}" for i in range(60)]
+    texts = [(1, " ".join(w)), (None, " ".join(w[4:] + ["x1", "x2", "x3", "x4"])), (2, " ".join(w[8:] + ["x1", "x2", "x3", "x4", "y1", "y2", "y3", "y4"]))]
+    got = {r.doc_id: (r.component_id, r.n_links) for r in J.ngram_jaccard_components(docs(spark, texts), links=True).collect()}
+    assert got == {1: (1, 1), None: (1, 2), 2: (1, 1)}
+
+
 def test_ngram_join_odd_rows(spark):
     texts = [(1, None), (2, ""), (3, " \n "), (4, "A b"), (5, "a  B"), (6, "a b c"), (7, "long " * 30_000), (8, "Long " * 9), (None, "a b"), (None, "only one here of all"), (9, "x y z u v"), (9, "x y z u v")]
     got = {}
