@@ -17,25 +17,48 @@ from latticework.llm.registry import tokenizer_path
 from latticework.llm.source_mixing import mix_sources
 
 
-def _kept(docs, verdicts, kept):
-    """The rows of docs that verdicts keep: an id goes if none of its rows is kept. Rows without an id stay."""
-    gone = verdicts.where("doc_id is not null").groupBy("doc_id").agg(F.max(kept.cast("int")).alias("kept")).where("kept = 0")
-    return C.without_rows(docs, gone.select("doc_id"))
+def _key(*columns):
+    """A hash of columns by which rows are told apart; nulls count as values, by place."""
+    return F.xxhash64(*[x for c in columns for x in (c, c.isNull())])
+
+
+def _kept(docs, changed, key):
+    """The rows of docs less those that go: changed (key, k) names the keys not all of whose rows stay. Of such a
+    key no row stays (k = 0) or one (k = 1), the smallest by its columns."""
+    keyed = docs.withColumn("_key", key)
+    changed = C.stage(changed, "pipeline-changed")
+    stay = C.without_rows(keyed, changed.select(F.col("key").alias("_key")), "_key").select(*docs.columns)
+    once = keyed.join(changed.where("k = 1").select("key"), F.col("_key") == F.col("key"), "left_semi")
+    once = once.groupBy("_key").agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*")
+    return stay.union(once)
 
 
 def quality_rules(spark, docs, sf_dir):
-    """Documents that the rules reject go."""
-    return _kept(docs, judge_documents(docs), F.col("kept"))
+    """Rows that the rules reject go, with or without an id."""
+    key = _key(F.col("doc_id"), F.col("source"), F.col("text"))
+    verdicts = judge_documents(docs.withColumn("doc_id", key))  # equal rows have equal verdicts
+    return _kept(docs, verdicts.where("not kept").select(F.col("doc_id").alias("key"), F.lit(0).alias("k")).distinct(), key)
 
 
 def exact_dedup(spark, docs, sf_dir):
-    """Of equal texts the row with the largest doc_id stays."""
-    return _kept(docs, exact_duplicates(docs), F.col("kept"))
+    """Of equal texts one row stays, of the largest doc_id; one without an id only if no other has one."""
+    verdicts = exact_duplicates(docs).where("group_size > 1").withColumn("key", _key(F.col("doc_id"), F.col("text_sha256")))
+    changed = verdicts.groupBy("key").agg(F.max(F.col("kept").cast("int")).alias("k"), F.count("*").alias("n")).where("k < n").select("key", "k")
+    return _kept(docs, changed, _key(F.col("doc_id"), F.sha2(F.coalesce("text", F.lit("")), 256)))
 
 
 def ngram_join(spark, docs, sf_dir):
-    """Of each group of near duplicates the smallest doc_id stays."""
-    return _kept(docs, ngram_jaccard_components(docs), F.col("doc_id") == F.col("component_id"))
+    """Of each group of near duplicates one row stays, of the smallest doc_id; one without an id only if no other
+    has one. Rows without words stay."""
+    key = _key(F.col("doc_id"), F.col("text"))
+    keyed = docs.select(key.alias("doc_id"), "text")
+    rows = C.stage(ngram_jaccard_components(keyed).where("n_shingles > 0").groupBy("component_id", "doc_id").agg(F.count("*").alias("n")), "pipeline-components")
+    several = C.stage(rows.groupBy("component_id").agg(F.sum("n").alias("all")).where("all > 1").select("component_id"), "pipeline-groups")
+    rows = rows.join(several, "component_id", "left_semi").select("component_id", F.col("doc_id").alias("key"), "n")
+    ids = docs.select(key.alias("key"), "doc_id").distinct()
+    best = rows.join(ids, "key").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("best"))
+    changed = rows.join(best, "component_id").select("key", (F.col("key") == F.col("best.key")).cast("int").alias("k"), "n").where("k < n")
+    return _kept(docs, changed.select("key", "k"), key)
 
 
 def mix(spark, docs, sf_dir):

@@ -66,22 +66,22 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 FILTER_BITS = 1 << 24
 
 
-def without_rows(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is not among ids (doc_id, no nulls), without moving the rows that stay.
+def without_rows(docs: DataFrame, ids: DataFrame, by: str = "doc_id") -> DataFrame:
+    """The rows of docs whose doc_id (or column ``by``) is not among ids (no nulls), without moving the rows that stay.
 
     A bitmap of hashed ids, of fixed size, is broadcast; rows whose bit isn't set stay where they
-    are, and only the others meet the ids in an anti-join. Rows without a doc_id stay.
+    are, and only the others meet the ids in an anti-join. Rows with a null there stay.
     """
     ids = stage(ids.distinct(), "without-ids")
-    place = lambda: F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    place = lambda: F.pmod(F.xxhash64(by), F.lit(FILTER_BITS))
     bits = ids.select(F.bitmap_bucket_number(place()).alias("_bucket"), F.bitmap_bit_position(place()).alias("_bit"))
     bits = bits.groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
     marked = docs.withColumns({"_b": F.bitmap_bucket_number(place()), "_p": F.bitmap_bit_position(place())})
     marked = marked.join(F.broadcast(bits), F.col("_b") == F.col("_bucket"), "left")
     byte = F.conv(F.hex(F.expr("substring(_bits, cast(_p div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    hit = F.coalesce(F.expr("doc_id is not null") & (byte.bitwiseAND(F.expr("shiftleft(1, cast(_p % 8 as int))")) != 0), F.lit(False))
+    hit = F.coalesce(F.col(by).isNotNull() & (byte.bitwiseAND(F.expr("shiftleft(1, cast(_p % 8 as int))")) != 0), F.lit(False))
     stay = marked.where(~hit).select(*docs.columns)
-    return stay.union(marked.where(hit).select(*docs.columns).join(ids, "doc_id", "left_anti").select(*docs.columns))
+    return stay.union(marked.where(hit).select(*docs.columns).join(ids, by, "left_anti").select(*docs.columns))
 
 
 # ---------------------------------------------------------------- words, vectorised

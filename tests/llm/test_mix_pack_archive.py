@@ -235,6 +235,28 @@ def test_pipeline_keeps_what_it_should(spark, sf_dir, tmp_path):
     assert {x.doc_id for x in out.select("doc_id").collect()} == kept[3]
 
 
+def test_pipeline_stages_judge_rows(spark, sf_dir):
+    """Rejects and copies without an id go, of repeated rows one stays, and rows of one id go each by its own text."""
+    import corpus_pipeline
+
+    r = random.Random(10)
+    t = [" ".join(f"w{r.randrange(5000)}" for _ in range(120)) for _ in range(7)]
+    d = lambda rows: spark.createDataFrame([(i, x, "en", "s", 0) for i, x in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+
+    def kept(stage, rows):
+        out = getattr(corpus_pipeline, stage)(spark, d(rows), sf_dir)
+        return sorted(((x.doc_id, x.text) for x in out.collect()), key=str)
+
+    good = [(i, x) for i, x in enumerate(t)]
+    assert kept("quality_rules", [*good, (None, "short"), (None, None), (0, "short"), (None, t[0]), (1, t[1])]) == sorted([*good, (None, t[0]), (1, t[1])], key=str)
+    got = kept("exact_dedup", [*good, (None, t[0]), (1, t[1]), (1, t[1]), (1, t[2]), (None, "x"), (None, "x"), (8, None), (8, "")])
+    assert [x for x in got if x[0] != 8] == sorted([*good, (None, "x")], key=str) and len(got) == len(good) + 2
+    near = lambda x: x + " more"
+    got = kept("ngram_join", [*good[:5], (None, near(t[0])), (9, near(t[1])), (9, t[5]), (2, t[2]), (None, t[6]), (None, near(t[6])), (None, " ")])
+    assert [x for x in got if x[0] is not None] == sorted([*good[:5], (9, t[5])], key=str)
+    assert sorted(x[1] == " " for x in got if x[0] is None) == [False, True]
+
+
 def test_without_rows_is_an_anti_join(spark, monkeypatch):
     from latticework.llm import common as C
 
