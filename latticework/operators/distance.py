@@ -57,6 +57,33 @@ def march(fore: np.ndarray, g: Geometry, start: np.ndarray, direction: np.ndarra
             return float(np.linalg.norm((cell - p) * h)), o + cell * h
 
 
+def march_all(fore: np.ndarray, g: Geometry, start: np.ndarray, directions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``march`` along many directions at once: distances, and where (nan for a miss)."""
+    h, o, dims = g.voxel[0], np.array(g.origin), np.array(g.dims)
+    ray = np.arange(len(directions))
+    major = np.argmax(np.abs(directions), 1)
+    lead = directions[ray, major]
+    rows = np.flatnonzero(lead)
+    step = directions / np.where(lead == 0, 1, np.abs(lead))[:, None]
+    p = (start - o) / h
+    base = np.floor(p[major])
+    first = p + step * ((base - p[major]) * np.sign(lead))[:, None]
+    first[ray, major] = base
+    at = first.copy()
+    distance, where = np.full(len(directions), MISS), np.full((len(directions), 3), np.nan)
+    while len(rows):
+        at[rows] += step[rows]
+        cell = np.floor(at[rows] + 0.5).astype(int)
+        inside = ((cell >= 0) & (cell < dims)).all(1)
+        rows, cell = rows[inside], cell[inside]
+        ends = ~fore[cell[:, 2], cell[:, 1], cell[:, 0]]
+        there, cell = rows[ends], cell[ends]
+        distance[there] = np.linalg.norm((cell - first[there]) * h, axis=1)
+        where[there] = o + cell * h
+        rows = rows[~ends]
+    return distance, where
+
+
 def orthogonal(n: np.ndarray) -> np.ndarray:
     """A unit vector across n; zero for zero."""
     for k in range(3):
@@ -110,7 +137,8 @@ def distance_map(voxels: DataFrame, g: Geometry, how: str = "one", plane: str =
                 if plane == "normals":
                     n = np.array([row.nx, row.ny, row.nz], float)
                 elif plane == "sphere":
-                    n = plane_by_hits(np.array([p for d, p in (march(fore, g, start, s) for s in sphere) if p is not None]).reshape(-1, 3))
+                    hits = march_all(fore, g, start, sphere)[1]
+                    n = plane_by_hits(hits[~np.isnan(hits[:, 0])])
                 else:
                     n = plane_by_axes(fore, at, size)
                 u = orthogonal(n)
@@ -118,12 +146,12 @@ def distance_map(voxels: DataFrame, g: Geometry, how: str = "one", plane: str =
                     out.append(MISS)
                     continue
                 w = np.cross(n / np.linalg.norm(n), u)
-                ray = lambda a: march(fore, g, start, math.cos(a) * u + math.sin(a) * w)[0]  # noqa: E731,B023
+                ray = lambda turn: march_all(fore, g, start, np.array([math.cos(a) * u + math.sin(a) * w for a in turn]))[0]  # noqa: E731,B023
                 if how == "two":
                     turn = [math.pi * k / (rays - 1) for k in range(rays - 1)]
-                    out.append(min(ray(a) + ray(a + math.pi) for a in turn))
+                    out.append(float((ray(turn) + ray([a + math.pi for a in turn])).min()))
                 else:
-                    d = [ray(2 * math.pi * k / (rays - 1)) for k in range(rays)]
+                    d = ray([2 * math.pi * k / (rays - 1) for k in range(rays)]).tolist()
                     hits = [x for x in d if x < MISS]
                     out.append(min(d) if how == "one" else sum(hits) / len(hits) if hits else 0.0)
             yield pd.DataFrame({"idx": t["idx"], "distance": out})

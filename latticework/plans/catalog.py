@@ -18,6 +18,7 @@ from latticework.sources import volumes as V
 
 G = V.GEOMETRY
 SIDE = 24
+SPHERE = 256
 _OFF = lambda name, shifts: f"{name}(k, dx, dy, dz) AS (VALUES {', '.join(str((k, *o)) for k, o in enumerate(shifts))})"
 
 BASE = f"""
@@ -651,8 +652,8 @@ for _plane in ("axes", "sphere", "normals"):
 
         @q(f"distance_{_plane}_{_how}", "idx:l distance:d")
         def _(spark, d, plane=_plane, how=_how):
-            v = vox(spark, d).where("z between 8 and 10 or a = 0").withColumns({"nx": F.lit(0.0), "ny": F.lit(0.6), "nz": F.lit(0.8), "only": ((F.col("x") + F.col("y")) % 4 == 0).cast("int")})
-            return D.distance_map(v, G, how, plane, rays=13, size=4, sphere=D.sphere_directions(16), label="a", mask="only")
+            v = vox(spark, d).withColumns({"nx": F.lit(0.0), "ny": F.lit(0.6), "nz": F.lit(0.8)})
+            return D.distance_map(v, G, how, plane, sphere=D.sphere_directions(SPHERE), label="a")
 
 
 @q("ray_hits", "landmark_id:l ray:l x:d y:d z:d")

@@ -218,6 +218,32 @@ def test_ray_march():
     assert np.allclose(D.plane_by_hits(np.array([[0, 0, 1.0], [1, 0, 1], [0, 1, 1], [3, 2, 1]])) ** 2, [0, 0, 1])
 
 
+@pytest.mark.parametrize("how", ["one", "two", "average"])
+def test_distance_map_is_brute_force(spark, how):
+    r = np.random.default_rng(3)
+    fore = r.random((6, 5, 7)) < 0.8
+    g = V.Geometry((7, 5, 6))
+    v = volume(spark, (7, 5, 6), label=[int(x) for x in fore.ravel()]).withColumns({"nx": F.lit(0.0), "ny": F.lit(0.6), "nz": F.lit(0.8)})
+    u = D.orthogonal(np.array([0, 0.6, 0.8]))
+    w = np.cross([0, 0.6, 0.8], u)
+    want = {}
+    for z, y, x in np.argwhere(fore):
+        ray = lambda a: D.march(fore, g, np.array([x, y, z], float), np.cos(a) * u + np.sin(a) * w)[0]  # noqa: E731,B023
+        turn = [2 * np.pi * k / 12 for k in range(13)]
+        hits = [d for d in map(ray, turn) if d < D.MISS]
+        want[(z * 5 + y) * 7 + x] = {"one": min(map(ray, turn)), "two": min(ray(a / 2) + ray(a / 2 + np.pi) for a in turn[:-1]), "average": sum(hits) / len(hits) if hits else 0.0}[how]
+    got = {x.idx: x.distance for x in D.distance_map(v, g, how, "normals", rays=13).collect()}
+    assert got == pytest.approx(want)
+
+
+@pytest.mark.parametrize("plane", ["axes", "sphere", "normals"])
+def test_distance_queries_take_the_whole_volume(spark, sf_dir, plane):
+    from latticework.plans import catalog, registry
+
+    whole = {x.idx for x in catalog.vox(spark, sf_dir).where("a > 0").select("idx").collect()}
+    assert {x.idx for x in registry.QUERIES[f"distance_{plane}_one"](spark, sf_dir).collect()} == whole
+
+
 def test_distance_needs_a_plane(spark):
     v = volume(spark, (3, 3, 3), label=[1] * 27).withColumns({c: F.lit(0.0) for c in ("nx", "ny", "nz")})
     assert set(column(D.distance_map(v, V.Geometry((3, 3, 3)), plane="normals", rays=5), "distance")) == {D.MISS}
