@@ -7,6 +7,7 @@ a lost executor costs a re-read, not a recomputation.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -24,10 +25,12 @@ _own_dir: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder named by spark.checkpoint.dir; where that is unset a temporary one, but only in one JVM."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _own_dir:
         _own_dir.append("file://" + tempfile.mkdtemp(prefix="latticework-"))
     return _own_dir[0]
@@ -38,7 +41,18 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def unstage(*staged: DataFrame | None) -> None:
+    """Remove staged tables that nothing reads any more."""
+    for df in staged:
+        if df is not None:
+            spark = df.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(df._staged_at)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -62,26 +76,42 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-#: Bits of the filter in without_rows: 2 MB, in 512 rows.
+#: Bits of the filter in parted: 2 MB, in 512 rows.
 FILTER_BITS = 1 << 24
 
 
-def without_rows(docs: DataFrame, ids: DataFrame, by: str = "doc_id") -> DataFrame:
-    """The rows of docs whose doc_id (or column ``by``) is not among ids (no nulls), without moving the rows that stay.
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that df doesn't have (in any case), made from these."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
 
-    A bitmap of hashed ids, of fixed size, is broadcast; rows whose bit isn't set stay where they
-    are, and only the others meet the ids in an anti-join. Rows with a null there stay.
+def parted(rows: DataFrame, keys: DataFrame, by: str) -> tuple[DataFrame, DataFrame]:
+    """Rows whose ``by`` is surely not among keys (nor those with a null there), and rows where it may be.
+
+    A bitmap of hashed keys, of fixed size, is broadcast, so the first rows need not move for a join.
     """
-    ids = stage(ids.distinct(), "without-ids")
+    bucket, bits, b, p = fresh(rows, "_bucket", "_bits", "_b", "_p")
     place = lambda: F.pmod(F.xxhash64(by), F.lit(FILTER_BITS))
-    bits = ids.select(F.bitmap_bucket_number(place()).alias("_bucket"), F.bitmap_bit_position(place()).alias("_bit"))
-    bits = bits.groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
-    marked = docs.withColumns({"_b": F.bitmap_bucket_number(place()), "_p": F.bitmap_bit_position(place())})
-    marked = marked.join(F.broadcast(bits), F.col("_b") == F.col("_bucket"), "left")
-    byte = F.conv(F.hex(F.expr("substring(_bits, cast(_p div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    hit = F.coalesce(F.col(by).isNotNull() & (byte.bitwiseAND(F.expr("shiftleft(1, cast(_p % 8 as int))")) != 0), F.lit(False))
-    stay = marked.where(~hit).select(*docs.columns)
-    return stay.union(marked.where(hit).select(*docs.columns).join(ids, by, "left_anti").select(*docs.columns))
+    some = keys.select(F.bitmap_bucket_number(place()).alias(bucket), F.bitmap_bit_position(place()).alias("_bit"))
+    some = some.groupBy(bucket).agg(F.bitmap_construct_agg("_bit").alias(bits))
+    marked = rows.withColumns({b: F.bitmap_bucket_number(place()), p: F.bitmap_bit_position(place())})
+    marked = marked.join(F.broadcast(some), F.col(b) == F.col(bucket), "left")
+    byte = F.conv(F.hex(F.expr(f"substring({bits}, cast({p} div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    hit = F.coalesce(F.col(by).isNotNull() & (byte.bitwiseAND(F.expr(f"shiftleft(1, cast({p} % 8 as int))")) != 0), F.lit(False))
+    return marked.where(~hit).select(*rows.columns), marked.where(hit).select(*rows.columns)
+
+
+def without_rows(docs: DataFrame, ids: DataFrame, by: str = "doc_id") -> DataFrame:
+    """The rows of docs whose doc_id (or column ``by``) is not among ids (no nulls), without moving the rows that
+    surely stay. Rows with a null there stay."""
+    ids = stage(ids.distinct(), "without-ids")
+    stay, maybe = parted(docs, ids, by)
+    return stay.union(maybe.join(ids, by, "left_anti").select(*docs.columns))
 
 
 # ---------------------------------------------------------------- words, vectorised
@@ -107,10 +137,10 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base and of its inverse, kept once per process."""
     if len(_powers.get("p", ())) < n:
-        size = max(n, _BLOCK)
         for k, base in (("p", _BASE), ("q", _BASE_INV)):
-            a = np.full(size, base, _U)
+            a = np.full(n, base, _U)
             a[0] = 1
             _powers[k] = np.cumprod(a)
     return _powers["p"], _powers["q"]
@@ -150,13 +180,25 @@ def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
-    """A 64-bit hash of each word, which depends on its bytes only."""
+    """A 64-bit hash of each word, which depends on its bytes only. What is held beside buf is bounded by blocks."""
     out = np.empty(len(starts), _U)
+    p, q = _pow(_BLOCK + 1)
     i = 0
     while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + _BLOCK, side="right")))
+        j = int(np.searchsorted(ends, starts[i] + _BLOCK, side="right"))
+        if j <= i:
+            s, e = int(starts[i]), int(ends[i])
+            value, shift, step = 0, 1, pow(_BASE, _BLOCK, 1 << 64)
+            for a in range(s, e, _BLOCK):
+                block = buf[a : min(e, a + _BLOCK)]
+                block = _LOWER[block] if lower else block
+                value += shift * int(((block.astype(_U) + _U(1)) * p[: len(block)]).sum())
+                shift = shift * step % (1 << 64)
+            h, size = np.array([value % (1 << 64)], _U), np.array([e - s], _U)
+            out[i : i + 1] = mix64(h ^ (size * _U(0xD6E8FEB86659FD93)))
+            i += 1
+            continue
         lo, hi = int(starts[i]), int(ends[j - 1])
-        p, q = _pow(hi - lo + 1)
         block = buf[lo:hi]
         if lower:
             block = _LOWER[block]

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from latticework.llm import common as C
 
 EDGES_PER_TASK = 1_000_000
+#: Each round shortens the longest way to a component's smallest id by a factor; an unfinished answer is never returned.
+ROUNDS = 100
 
 
 def _contract(batches):
@@ -40,9 +42,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     several tasks to smaller ids; each round is written to the shared folder. No edge: no row.
     """
     edges = edges.where("a <> b").select("a", "b")
-    last = None
-    for _ in range(100):
+    last, before = None, None
+    for _ in range(ROUNDS):
         edges = C.stage(edges, "components")
+        C.unstage(before)
+        before = edges
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == last:
             break
@@ -51,11 +55,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
         edges = edges.coalesce(max(1, tasks)).mapInArrow(_contract, "a long, b long")
         if tasks <= 1:
             edges = C.stage(edges, "components")
+            C.unstage(before)
             break
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         edges = large.join(least, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    else:
+        raise RuntimeError(f"components are not complete after {ROUNDS} rounds")
     out = edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
     return out.union(edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())

@@ -20,6 +20,7 @@ _IS_SYMBOL = np.zeros(256, bool)
 _IS_SYMBOL[list(SYMBOLS.encode())] = True
 _STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _U = np.uint64
+LONG_BYTES = 4_000_000
 
 
 def text_statistics(texts: pa.Array) -> dict[str, np.ndarray]:
@@ -29,6 +30,10 @@ def text_statistics(texts: pa.Array) -> dict[str, np.ndarray]:
     starts, ends, doc = C.words(buf, off)
 
     def per_text(mask: np.ndarray) -> np.ndarray:
+        if len(mask) > LONG_BYTES:  # positions would take eight times the text
+            out, some = np.zeros(n, np.int64), np.flatnonzero(off[1:] > off[:-1])
+            out[some] = np.add.reduceat(mask, off[:-1][some], dtype=np.int64)
+            return out
         at = np.flatnonzero(mask)
         return np.searchsorted(at, off[1:]) - np.searchsorted(at, off[:-1])
 
