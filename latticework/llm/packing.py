@@ -6,11 +6,13 @@ of the corpus. Per bin the longest piece left is placed, then subset-sum dynamic
 over the available lengths (sums as bits of an integer) finds the fullest feasible
 combination, which is removed, as often as it can be. Pieces then take their places by their
 rank among the pieces of equal length. Ranks come from counts by (length, bucket) and an order
-within each bucket, so no length is ranked in one task.
+within each bucket. A length has as many buckets as its pieces need at BUCKET_PIECES each, so no
+length is ranked in one task, and the table of counts has a row for some thousands of pieces.
 """
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 import zlib
@@ -24,11 +26,13 @@ from latticework.llm import common as C
 
 CAPACITY = 1024
 END_ID = 2
+BUCKET_PIECES = 8_192
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def _encoder(path: str):
-    """A function from text to ids, the ids of the ``tokenizers`` file at path.
+@functools.lru_cache(maxsize=4)
+def encoder(path: str):
+    """A function from text to ids, the ids of the ``tokenizers`` file at path; made once per process.
 
     Byte-level BPE files are run by tiktoken with the file's own vocabulary, merges and split
     pattern (same ids, some four times faster); texts that hold a special token's string, and
@@ -72,14 +76,9 @@ def _encoder(path: str):
     return encode
 
 
-_encoders: dict = {}
-
-
 def _tokenized(path: str, capacity: int, with_ids: bool):
     def run(batches):
-        if path not in _encoders:
-            _encoders[path] = _encoder(path)
-        encode = _encoders[path]
+        encode = encoder(path)  # by reference: a worker's later tasks find it made
         for batch in batches:
             for part in C.slices(batch, "text", 1_000_000, 10_000):
                 out = []
@@ -183,11 +182,10 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, wi
     spark = docs.sparkSession
     schema = _PIECES + (", ids array<int>" if with_ids else "")
     pieces = C.stage(C.need(docs, "doc_id", "text").mapInArrow(_tokenized(tokenizer, capacity, with_ids), schema), "pack-pieces")
-    buckets = max(64, C.shuffle_partitions(spark))
-    pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
+    histogram = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most a row per length
+    buckets = F.array(*[F.lit(max(1, -(-histogram.get(length, 0) // BUCKET_PIECES))) for length in range(capacity + 1)])
+    pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.get(buckets, F.col("length").cast("int"))).cast("int"))
     counts = pieces.groupBy("length", "bucket").agg(F.count("*").alias("n"))
-    counts = C.stage(counts, "pack-counts")
-    histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     own = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece")) - 1
