@@ -1,9 +1,11 @@
 """License scan by diagonal voting, with DataFrame operations only.
 
-Every rolling k-gram of words of every text is hashed and joined to the positions it has in
-license templates. A hit votes for the diagonal (place in the text minus place in the template);
-votes add up by diagonal, diagonals a few words apart merge (insertions and deletions), and a
-merged span is verified: it must cover enough of its template, in about the template's length.
+Every text is split into words once. Every rolling k-gram of words of every text is hashed and
+joined to the positions it has in license templates; the words of a hit are then compared one by
+one, so that hashes only find candidates. A hit votes for the diagonal (place in the text minus
+place in the template); votes add up by diagonal, diagonals a few words apart merge (insertions
+and deletions), and a merged span is verified by the words it really shares: they must cover
+enough of the template, and enough of the span in the text.
 """
 
 from __future__ import annotations
@@ -15,55 +17,68 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from latticework.llm import common as C
+from latticework.llm.license_texts import TEMPLATES
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between words, of lower-cased texts.
+GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: phrase and label
 PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
-#: label and passage, as these licenses word their notices
-TEMPLATES = (
-    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("gpl", "This work is licensed under the GNU General Public License, version 3."),
-    ("apache", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at'),
-    ("apache", "Licensed under the Apache License, version 2.0."),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"),
-    ("mit", "Released under the MIT license."),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
-)
+#: The table of template k-grams is broadcast; a larger one is an error, never cut.
 MOST_TEMPLATE_GRAMS = 200_000
 
 
+def template_words(text: str) -> list[str]:
+    return re.findall(WORD, text.translate(str.maketrans(C.ASCII_UPPER, C.ASCII_LOWER)))
+
+
 def _template_grams(spark: SparkSession, templates, k: int) -> DataFrame:
-    """(g1..gk, template, label, at, grams) of all templates: a table bounded by MOST_TEMPLATE_GRAMS."""
-    rows = []
+    """A row per different k-gram of the templates: h, own (its words), places (template, label, at, size)."""
+    places: dict[tuple, list] = {}
     for t, (label, text) in enumerate(templates):
-        w = re.findall(WORD, text.translate(str.maketrans(C.ASCII_UPPER, C.ASCII_LOWER)))
-        n = len(w) - k + 1
-        rows += [(*w[i : i + k], t, label, i, n) for i in range(n)]
-    if len(rows) > MOST_TEMPLATE_GRAMS:
-        raise ValueError(f"{len(rows)} template k-grams; at most {MOST_TEMPLATE_GRAMS} are broadcast")
-    grams = [f"g{i}" for i in range(k)]
-    schema = ", ".join(f"{g} string" for g in grams) + ", template int, label string, at int, grams int"
-    return spark.createDataFrame(rows, schema).select(F.xxhash64(*grams).alias("h"), "template", "label", "at", "grams")
-
-
-def _spans(d: DataFrame, templates, k: int, drift: int, least: float) -> DataFrame:
-    """(doc_id, check) to its verified labels and the best coverage."""
-    words = F.regexp_extract_all("low", F.lit(WORD), F.lit(0))
-    zipped = F.arrays_zip(*[F.slice("w", i + 1, F.greatest(F.size("w") - (k - 1), F.lit(0))).alias(f"g{i}") for i in range(k)])
-    grams = d.select("doc_id", "check", words.alias("w")).select("doc_id", "check", F.posexplode(zipped).alias("pos", "g"))
-    hits = grams.select("doc_id", "check", "pos", F.xxhash64(*[F.col(f"g.g{i}") for i in range(k)]).alias("h"))
-    hits = hits.join(F.broadcast(_template_grams(d.sparkSession, templates, k)), "h")
-    key = ["doc_id", "check", "template", "label", "grams"]
-    votes = hits.groupBy(*key, (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.count_distinct("at").alias("votes"), F.min("at").alias("first"), F.max("at").alias("last"))
-    by = Window.partitionBy("doc_id", "check", "template").orderBy("diagonal")
+        w = template_words(text)
+        for i in range(len(w) - k + 1):
+            places.setdefault(tuple(w[i : i + k]), []).append((t, label, i, len(w)))
+    if sum(map(len, places.values())) > MOST_TEMPLATE_GRAMS:
+        raise ValueError(f"{sum(map(len, places.values()))} template k-grams; at most {MOST_TEMPLATE_GRAMS} are broadcast")
+    rows = [(list(g), p) for g, p in places.items()]
+    grams = spark.createDataFrame(rows, "own array<string>, places array<struct<template:int,label:string,at:int,size:int>>")
+    return grams.select(F.xxhash64(*[F.get("own", F.lit(i)) for i in range(k)]).alias("h"), "own", "places")
+
+
+def _lowered(text):
+    """Unicode lower case is the fastest; it makes an ASCII letter of one other character only, the Kelvin sign."""
+    return F.when(F.contains(text, F.lit("\u212a")), C.ascii_lower(text)).otherwise(F.lower(text))
+
+
+def _hits(docs: DataFrame, phrases, templates, k: int) -> DataFrame:
+    """(row, doc_id, n_words, pos, mask, places): a row for the first word (or none) of every text, and one for every
+    word where a phrase stands (a bit each) or a k-gram of a template. One pass over the texts."""
+    words = F.array_remove(F.split(_lowered(F.coalesce("text", F.lit(""))), GAP), "")
+    d = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", words.alias("w"))
+    d = d.select("row", "doc_id", F.size("w").cast("long").alias("n_words"), "w", F.posexplode_outer("w").alias("pos", "word"))
+    at = lambda i: F.col("word") if not i else F.get("w", F.col("pos") + i)
+    bits = [F.when(reduce(lambda a, b: a & b, [at(i) == x for i, x in enumerate(p.split())]), 1 << n).otherwise(0) for n, (p, _) in enumerate(phrases)]
+    d = d.withColumns({"mask": reduce(lambda a, b: a + b, bits, F.lit(0)), "hash": F.xxhash64(*[at(i) for i in range(k)])})
+    found = d.join(F.broadcast(_template_grams(docs.sparkSession, templates, k)), F.col("hash") == F.col("h"), "left")
+    same = reduce(lambda a, b: a & b, [at(i).eqNullSafe(F.get("own", F.lit(i))) for i in range(k)])
+    found = found.withColumn("places", F.when(F.col("own").isNotNull() & same, F.col("places")))
+    return found.where((F.coalesce("pos", F.lit(0)) == 0) | (F.col("mask") > 0) | F.col("places").isNotNull()).select("row", "doc_id", "n_words", "pos", "mask", "places")
+
+
+def _spans(hits: DataFrame, k: int, drift: int, least: float) -> DataFrame:
+    """A row to its verified labels and the best coverage."""
+    votes = hits.where("places is not null").select("row", "pos", F.explode("places").alias("p")).select("row", "pos", "p.*")
+    by = Window.partitionBy("row", "template").orderBy("diagonal")
+    votes = votes.groupBy("row", "template", "label", "size", (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.collect_set("at").alias("at"), F.collect_set("pos").alias("pos"))
     new = (F.col("diagonal") - F.lag("diagonal").over(by) > drift).cast("int")
     merged = votes.withColumn("group", F.sum(F.coalesce(new, F.lit(1))).over(by))
-    merged = merged.groupBy(*key, "group").agg(F.sum("votes").alias("votes"), F.min("first").alias("first"), F.max("last").alias("last"), (F.max("diagonal") - F.min("diagonal")).alias("bend"))
-    cover = F.least(F.lit(1.0), F.col("votes") / F.col("grams"))
-    good = merged.withColumn("cover", cover).where((F.col("cover") >= least) & (F.col("last") - F.col("first") + 1 >= least * F.col("grams")) & (F.col("bend") <= F.greatest(F.lit(drift), F.col("grams"))))
-    return good.groupBy("doc_id", "check").agg(F.collect_set("label").alias("found"), F.max("cover").alias("cover"))
+    merged = merged.groupBy("row", "template", "label", "size", "group").agg(F.flatten(F.collect_list("at")).alias("at"), F.flatten(F.collect_list("pos")).alias("pos"), (F.max("diagonal") - F.min("diagonal")).alias("bend"))
+    covered = lambda c: F.size(F.array_distinct(F.flatten(F.transform(c, lambda x: F.sequence(x, x + (k - 1))))))
+    span = F.array_max("pos") - F.array_min("pos") + k
+    merged = merged.withColumns({"cover": covered("at") / F.col("size"), "dense": covered("pos") / span})
+    good = merged.where((F.col("cover") >= least) & (F.col("dense") >= least) & (F.col("bend") <= F.greatest(F.lit(drift), F.col("size"))))
+    return good.groupBy("row").agg(F.collect_set("label").alias("found"), F.max("cover").alias("cover"))
 
 
 def scan_licenses(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, k: int = 3, drift: int = 3, least: float = 0.6) -> DataFrame:
@@ -71,30 +86,17 @@ def scan_licenses(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, k: int
 
     Base labels are those of phrases whose words stand in a row; the method adds labels of
     templates it finds. Score: the best coverage of a template, 1 with a base label, else 0. Null
-    and empty texts have no words and no labels. Repeated rows give repeated rows; other columns
-    are ignored.
+    and empty texts have no words and no labels. Rows are judged one by one, with or without a
+    doc_id; repeated rows give repeated rows; other columns are ignored; an empty table gives none.
     """
-    low = C.ascii_lower(F.coalesce("text", F.lit("")))
-    d = C.need(docs, "doc_id", "text").select("doc_id", low.alias("low"), F.xxhash64("text").alias("check"))
-    first = sorted({p.split()[0] for p, _ in phrases})
-    rest = sorted({p.split()[-1] for p, _ in phrases})
-    may = reduce(lambda a, b: a | b, [F.col("low").contains(w) for w in first]) & reduce(lambda a, b: a | b, [F.col("low").contains(w) for w in rest])
-    words = F.when(may, F.regexp_extract_all("low", F.lit(WORD), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    base = d.select("doc_id", "check", F.regexp_count("low", F.lit(WORD)).cast("long").alias("n_words"), words.alias("w"))
-
-    def places(phrase: str):
-        own = phrase.split()
-        at = F.sequence(F.lit(0), F.size("w") - 1)
-        stands = lambda i: reduce(lambda a, b: a & b, [F.get("w", i + j) == x for j, x in enumerate(own)])
-        return F.when(F.size("w") >= len(own), F.filter(at, stands)).otherwise(F.array().cast("array<int>"))
-
-    base = base.select("doc_id", "check", "n_words", *[places(p).alias(f"p{i}") for i, (p, _) in enumerate(phrases)])
-    every = F.flatten(F.array(*[f"p{i}" for i in range(len(phrases))]))
-    base_labels = F.array_compact(F.array(*[F.when(F.size(f"p{i}") > 0, F.lit(label)) for i, (_, label) in enumerate(phrases)]))
-    base = base.select("doc_id", "check", "n_words", every.alias("every"), base_labels.alias("bl"))
-    base = base.select("doc_id", "check", "n_words", F.size("every").cast("long").alias("n_base"), F.array_min("every").cast("long").alias("first_word"), F.array_max("every").cast("long").alias("last_word"), "bl")
-    spans = _spans(d.where("doc_id is not null"), templates, k, drift, least)
-    out = base.join(spans, ["doc_id", "check"], "left")
+    hits = C.stage(_hits(C.need(docs, "doc_id", "text"), phrases, templates, k), "license-hits")
+    place = F.when(F.col("mask") > 0, F.col("pos").cast("long"))
+    base = hits.groupBy("row").agg(
+        F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.coalesce(F.sum(F.bit_count("mask")), F.lit(0)).cast("long").alias("n_base"),
+        F.min(place).alias("first_word"), F.max(place).alias("last_word"), F.bit_or("mask").alias("mask"),
+    )
+    base = base.withColumn("bl", F.array_compact(F.array(*[F.when(F.col("mask").bitwiseAND(1 << n) > 0, F.lit(label)) for n, (_, label) in enumerate(phrases)])))
+    out = base.join(_spans(hits, k, drift, least), "row", "left")
     join = lambda a: F.array_join(F.array_sort(F.array_distinct(a)), ",")
     labels = F.concat("bl", F.coalesce("found", F.array().cast("array<string>")))
     score = F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.coalesce("cover", F.lit(0.0)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from latticework.llm.license_scan import PHRASES, TEMPLATES, WORD
+from latticework.llm.license_scan import PHRASES, TEMPLATES, WORD, template_words
 from latticework.llm.url_reputation import RULES
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -106,13 +106,9 @@ FROM d
 """
 
 
-def _grams(k: int = 3) -> str:
-    """Rows of template k-grams."""
-    rows = []
-    for t, (label, text) in enumerate(TEMPLATES):
-        w = re.findall(WORD, text.lower())
-        rows += [str((" ".join(w[i : i + k]), t, label, i, len(w) - k + 1)) for i in range(len(w) - k + 1)]
-    return ", ".join(rows)
+def _templates() -> str:
+    """Rows of templates: number, label, words."""
+    return ", ".join(f"({t}, '{label}', string_split('{' '.join(template_words(text))}', ' '))" for t, (label, text) in enumerate(TEMPLATES))
 
 
 def _places(phrase: str) -> str:
@@ -121,17 +117,20 @@ def _places(phrase: str) -> str:
 
 
 LICENSE_SCAN = rf"""
-WITH t(g, template, label, place, grams) AS (VALUES {_grams()}),
+WITH tt(template, label, tw) AS (VALUES {_templates()}),
+t AS (SELECT template, label, len(tw) AS size, i AS place, array_to_string(tw[i + 1:i + 3], ' ') AS g FROM (SELECT *, unnest(range(0, len(tw) - 2)) AS i FROM tt)),
 d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{WORD}') AS w FROM documents),
 b AS (SELECT doc_id, w, {", ".join(f"{_places(p)} AS p{i}" for i, (p, _) in enumerate(PHRASES))} FROM d),
 e AS (SELECT doc_id, len(w) AS n_words, {" || ".join(f"p{i}" for i in range(len(PHRASES)))} AS p,
   list_filter([{", ".join(f"CASE WHEN len(p{i}) > 0 THEN '{label}' END" for i, (_, label) in enumerate(PHRASES))}], lambda x: x IS NOT NULL) AS bl FROM b),
 k AS (SELECT doc_id, i AS pos, array_to_string(w[i + 1:i + 3], ' ') AS g FROM (SELECT doc_id, w, unnest(range(0, len(w) - 2)) AS i FROM d)),
-v AS (SELECT doc_id, template, label, grams, pos - place AS diagonal, count(DISTINCT place) AS votes, min(place) AS first, max(place) AS last FROM k JOIN t USING (g) GROUP BY ALL),
+v AS (SELECT doc_id, template, label, size, pos - place AS diagonal, list(DISTINCT place) AS places, list(DISTINCT pos) AS poss FROM k JOIN t USING (g) GROUP BY ALL),
 n AS (SELECT *, coalesce(CAST(diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) > 3 AS INT), 1) AS new FROM v),
 m AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS grp FROM n),
-s AS (SELECT doc_id, label, grams, least(1.0, sum(votes) / grams) AS cover, max(last) - min(first) + 1 AS span, max(diagonal) - min(diagonal) AS bend FROM m GROUP BY doc_id, template, label, grams, grp),
-f AS (SELECT doc_id, list(label) AS found, max(cover) AS cover FROM s WHERE cover >= 0.6 AND span >= 0.6 * grams AND bend <= greatest(3, grams) GROUP BY doc_id)
+u AS (SELECT doc_id, label, size, flatten(list(places)) AS places, flatten(list(poss)) AS poss, max(diagonal) - min(diagonal) AS bend FROM m GROUP BY doc_id, template, label, size, grp),
+s AS (SELECT *, len(list_distinct(flatten(list_transform(places, lambda x: [x, x + 1, x + 2])))) / size AS cover,
+  len(list_distinct(flatten(list_transform(poss, lambda x: [x, x + 1, x + 2])))) / (list_max(poss) - list_min(poss) + 3) AS dense FROM u),
+f AS (SELECT doc_id, list(label) AS found, max(cover) AS cover FROM s WHERE cover >= 0.6 AND dense >= 0.6 AND bend <= greatest(3, size) GROUP BY doc_id)
 SELECT e.doc_id, n_words, len(p) AS n_base, list_min(p) AS first_word, list_max(p) AS last_word, array_to_string(list_sort(list_distinct(bl)), ',') AS base_labels,
   array_to_string(list_sort(list_distinct(bl || coalesce(found, []))), ',') AS labels, CAST(CASE WHEN len(p) > 0 THEN 1.0 ELSE coalesce(cover, 0) END AS DOUBLE) AS score
 FROM e LEFT JOIN f USING (doc_id)
