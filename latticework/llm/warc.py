@@ -26,6 +26,8 @@ ROLL_BYTES = 16_000_000
 FEED_BYTES = 16_384
 DICT_SAMPLE = 400
 DICT_BYTES = 32_768
+#: Of each of the sampled pages, so that no whole page comes to the driver.
+DICT_CHARS = 50_000
 
 
 def digest32(payload: bytes) -> str:
@@ -194,13 +196,15 @@ def archive_pages(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     payload = F.coalesce("html", F.lit(""))
     p = C.need(pages, "page_id", "url", "html").select("page_id", "url", "html", F.sha1(payload.cast("binary")).alias("digest"), F.octet_length(payload).alias("n"))
     best = p.where(F.col("n") >= least_bytes).groupBy("digest", "n").agg(F.max("page_id").alias("best"), F.count("*").alias("c")).where("c > 1").drop("c")
-    p = p.join(C.stage(best, "warc-groups"), ["digest", "n"], "left")
+    best = C.stage(best, "warc-groups")
+    single, maybe = C.parted(p, best, "digest")  # pages move only where their payload may occur again
     again = F.col("best").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("best"))
-    p = p.select("page_id", "url", "html", "digest", F.when(again, "revisit").otherwise("response").alias("kind"), F.when(again, F.col("best")).alias("refers_to"))
+    maybe = maybe.join(best, ["digest", "n"], "left").select("page_id", "url", "html", "digest", F.when(again, "revisit").otherwise("response").alias("kind"), F.when(again, F.col("best")).alias("refers_to"))
+    p = single.select("page_id", "url", "html", "digest", F.lit("response").alias("kind"), F.lit(None).cast("long").alias("refers_to")).union(maybe)
     folder = f"{C.shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     folder_path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     folder_path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(folder_path)
-    sample = [(r.html or "").encode()[:100_000] for r in pages.select("html").limit(DICT_SAMPLE).collect()]
+    sample = [r.html.encode() for r in pages.select(F.substring(payload, 1, DICT_CHARS).alias("html")).limit(DICT_SAMPLE).collect()]
     files = write_archives(p, folder, train_dictionary(sample))
     written = files.agg(F.sum("records")).first()[0]
     if not written:
