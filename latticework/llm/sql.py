@@ -51,12 +51,18 @@ hosts AS (SELECT host, n, bad, l[-1] AS suffix, array_to_string(l[-2:], '.') AS
 domains AS (SELECT suffix, domain, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY ALL),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY ALL),
 m AS (SELECT {_strength('suffixes')} AS ms, {_strength('domains')} AS md, {_strength('hosts')} AS mh, (SELECT CASE WHEN sum(n) > 0 THEN (sum(bad) + 1) / (sum(n) + 2) ELSE 0 END FROM hosts) AS p0),
-r AS (SELECT hosts.host, hosts.n, (hosts.bad + mh * ((domains.bad + md * ((suffixes.bad + ms * p0) / (suffixes.n + ms))) / (domains.n + md))) / (hosts.n + mh) AS rate, mh
+r AS (SELECT hosts.host, hosts.n, hosts.bad, (domains.bad + md * ((suffixes.bad + ms * p0) / (suffixes.n + ms))) / (domains.n + md) AS pd, mh
   FROM hosts JOIN domains USING (suffix, domain) JOIN suffixes USING (suffix), m),
+ab AS (SELECT host, (bad + mh * pd) / (n + mh) AS mean, bad + mh * pd AS a, n - bad + mh * (1 - pd) AS b FROM r),
+gr AS (SELECT *, greatest(0, mean - 8 * sqrt(mean * (1 - mean) / (a + b + 1))) AS lo, least(1, mean + 8 * sqrt(mean * (1 - mean) / (a + b + 1))) AS hi FROM ab),
+lg AS (SELECT *, list_transform(range(400), lambda k: lo + (k + 0.5) / 400 * (hi - lo)) AS ts FROM gr),
+ld AS (SELECT *, CASE WHEN a > 0 AND b > 0 THEN list_transform(ts, lambda t: (a - 1) * ln(t) + (b - 1) * ln(1 - t)) END AS ls FROM lg),
+lw AS (SELECT *, list_transform(ls, lambda x: exp(x - list_max(ls))) AS ws FROM ld),
+lq AS (SELECT host, mean, ts, ws, list_reduce(ws, lambda s, x: {{'t': s.t + x, 'k': s.k + CASE WHEN s.t + x < 0.05 * list_sum(ws) THEN 1 ELSE 0 END}}, {{'t': 0e0, 'k': 0::BIGINT}}) AS q FROM lw),
+lo AS (SELECT host, CASE WHEN ws IS NULL THEN mean ELSE ts[least(q.k, 399) + 1] END AS low FROM lq),
 v AS (SELECT *, {_rules()} AS fit FROM pages_)
-SELECT page_id, host, path, string_split(fit, ' ')[2] AS rule,
-  coalesce(string_split(fit, ' ')[1], CASE WHEN rate - 1.64 * sqrt(rate * (1 - rate) / (n + mh + 1)) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
-FROM v JOIN r USING (host)
+SELECT page_id, host, path, string_split(fit, ' ')[2] AS rule, coalesce(string_split(fit, ' ')[1], CASE WHEN low > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+FROM v JOIN lo USING (host)
 """
 
 SOURCE_MIXING = rf"""

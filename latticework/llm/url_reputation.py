@@ -3,8 +3,8 @@
 Labelled page outcomes are counted by host, registered domain and suffix. At each level a
 beta-binomial prior takes its mean from the level above and its strength from the spread of
 that level's rates (method of moments), so a host with few labels leans on its domain, that on
-its suffix, and that on the whole. A url is blocked where the lower bound of its host's
-posterior rate of bad pages is over the threshold.
+its suffix, and that on the whole. A url is blocked where the lower quantile of its host's beta
+posterior for the rate of bad pages is over the threshold.
 """
 
 from __future__ import annotations
@@ -47,8 +47,34 @@ def _strength(level: DataFrame) -> float:
     return 1 / rho - 1
 
 
-def host_reputation(hosts: DataFrame, z: float = 1.64) -> DataFrame:
-    """(host, n, bad) to (host, labelled, bad_rate, bad_rate_low): the posterior's mean and lower bound."""
+def _let(value, body):
+    """body(value) with the value computed once: a lambda's variable, as plain columns are computed again in every step."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def beta_quantile(a, b, tail: float, steps: int = 400):
+    """Column: the quantile of Beta(a, b) at ``tail``, from the density at ``steps`` places up to eight deviations around the mean."""
+    mean = a / (a + b)
+    wide = 8 * F.sqrt(mean * (1 - mean) / (a + b + 1))
+    given = F.struct(a.alias("a"), b.alias("b"), F.greatest(F.lit(0.0), mean - wide).alias("lo"), F.least(F.lit(1.0), mean + wide).alias("hi"))
+    at = lambda g, k: g["lo"] + (k + 0.5) / steps * (g["hi"] - g["lo"])
+    logs = lambda g: F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda k: (g["a"] - 1) * F.ln(at(g, k)) + (g["b"] - 1) * F.ln(1 - at(g, k)))
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("k"))
+
+    def place(shares, total):
+        step = lambda s, x: F.struct((s["sum"] + x).alias("sum"), (s["k"] + (s["sum"] + x < tail * total).cast("int")).alias("k"))
+        return F.least(F.aggregate(shares, start, step)["k"], F.lit(steps - 1))
+
+    def quantile(g):
+        found = lambda w: _let(F.aggregate(w, F.lit(0.0), lambda s, x: s + x), lambda total: place(w, total))
+        shares = lambda ls: _let(F.array_max(ls), lambda most: _let(F.transform(ls, lambda x: F.exp(x - most)), found))
+        return at(g, _let(logs(g), shares))
+
+    return _let(given, quantile)
+
+
+def host_reputation(hosts: DataFrame, tail: float = 0.05) -> DataFrame:
+    """(host, n, bad) to (host, labelled, bad_rate, bad_rate_low): the posterior's mean and its quantile at ``tail``."""
     labels = F.split("host", r"\.")
     last = lambda k: F.array_join(F.slice(labels, F.greatest(F.size(labels) - (k - 1), F.lit(1)), F.lit(k)), ".")
     two = last(2).isin(*TWO_LABEL_SUFFIXES)
@@ -63,11 +89,12 @@ def host_reputation(hosts: DataFrame, z: float = 1.64) -> DataFrame:
     domains = domains.join(suffixes, "suffix").select("suffix", "domain", shrunk(m, F.col("ps")).alias("pd"))
     m = _strength(hosts)
     hosts = hosts.join(domains, ["suffix", "domain"]).withColumn("bad_rate", shrunk(m, F.col("pd")))
-    spread = F.sqrt(F.col("bad_rate") * (1 - F.col("bad_rate")) / (F.col("n") + F.lit(m + 1)))
-    return hosts.select("host", F.col("n").alias("labelled"), "bad_rate", F.greatest(F.lit(0.0), F.col("bad_rate") - z * spread).alias("bad_rate_low"))
+    hosts = hosts.withColumns({"a": F.col("bad") + F.lit(m) * F.col("pd"), "b": F.col("n") - F.col("bad") + F.lit(m) * (1 - F.col("pd"))})
+    low = F.when((F.col("a") > 0) & (F.col("b") > 0), beta_quantile(F.col("a"), F.col("b"), tail)).otherwise(F.col("bad_rate"))
+    return hosts.select("host", F.col("n").alias("labelled"), "bad_rate", low.alias("bad_rate_low"))
 
 
-def filter_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, threshold: float = 0.5, z: float = 1.64) -> DataFrame:
+def filter_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, threshold: float = 0.5, tail: float = 0.05) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, then labelled, bad_rate, bad_rate_low.
 
     ``outcomes``: (page_id, bad 0/1); several per page count as bad if one is. Null urls and urls
@@ -78,7 +105,7 @@ def filter_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, threshold: f
     parsed = C.need(pages, "page_id", "url").select("page_id", host.alias("host"), path.alias("path"))
     known = C.need(outcomes, "page_id", "bad").where("page_id is not null and bad is not null").groupBy("page_id").agg(F.max("bad").cast("long").alias("bad"))
     counts = parsed.join(known, "page_id", "left").groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-    judged = parsed.join(host_reputation(counts, z), "host", "left")
+    judged = parsed.join(host_reputation(counts, tail), "host", "left")
     fit = rule_for(F.col("host"), F.col("path"), rules)
     own = F.when(F.col("bad_rate_low") > threshold, "block").otherwise("allow")
     out = judged.withColumn("fit", fit)
