@@ -7,6 +7,10 @@ over the cluster; a digest keeps the surviving row and the count. After about
 that a digest which a third of all rows share meets at most ``fan_in`` rows of its own in any
 round, and in the last one the rows of a single run.
 
+With DataFrame operations alone, the merge of a round is an exchange by (group, digest), a sort of
+the sorted pieces that arrive, and an aggregate over equal neighbours; that runs are written in
+order serves their size and the reads of single digests, not the next round's sort.
+
 A digest is verified in every round by what is carried beside it: SHA-256, byte length and
 an independent 64-bit hash must all agree, else the texts count as different.
 """
