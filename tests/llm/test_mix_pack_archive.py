@@ -36,6 +36,21 @@ def test_hosts_paths_and_rules(spark):
     assert U.filter_urls(pages.where(F.lit(False)), spark.createDataFrame([(1, 1)], "page_id long, bad int")).count() == 0
 
 
+def test_beta_quantiles(spark):
+    r = np.random.default_rng(1)
+    cases = [(1.0, 1.0), (2.0, 5.0), (0.5, 0.5), (40.0, 3.0), (3000.0, 9000.0), (0.05, 20.0)]
+    d = spark.createDataFrame(cases, "a double, b double").withColumn("q", U.beta_quantile(F.col("a"), F.col("b"), 0.05))
+    for x in d.collect():
+        assert x.q == pytest.approx(np.quantile(r.beta(x.a, x.b, 400_000), 0.05), abs=0.006)
+
+
+def test_repeated_pages_and_null_ids_keep_their_rows(spark):
+    rows = [(1, "http://a.com/x")] * 3 + [(None, "http://a.com/x"), (None, None), (2, "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string").withColumns({c: F.lit(1) for c in ("host", "bad", "verdict", "n")})
+    out = U.filter_urls(pages, spark.createDataFrame([(1, 1), (1, 0), (None, 1)], "page_id long, bad int")).collect()
+    assert sorted((r.page_id or 0, r.host) for r in out) == [(0, ""), (0, "a.com"), (1, "a.com"), (1, "a.com"), (1, "a.com"), (2, "")]
+
+
 def test_reputation_shrinks_and_blocks(spark):
     rows = [(h, i, f"http://h{h}.d{h % 4}.io/x") for h in range(12) for i in range(40)]
     bad = lambda h, i: int(i < 38) if h == 5 else int(i < 2)
@@ -102,7 +117,7 @@ def test_shorter_documents_are_likelier(spark):
 def test_fast_ids_are_those_of_tokenizers(tokenizer):
     from tokenizers import Tokenizer
 
-    whole, fast = Tokenizer.from_file(tokenizer), P._encoder(tokenizer)
+    whole, fast = Tokenizer.from_file(tokenizer), P.encoder(tokenizer)
     r = random.Random(1)
     alphabet = [*"aZé 'ſ中\n\t\x00\u3000👍²٣", "'ll", "  ", "<|endoftext|>", "don't", "12345", "\r\n", "\u200d"]
     for text in ["", " ", "x" * 5000, *["".join(r.choice(alphabet) for _ in range(r.randrange(80))) for _ in range(300)]]:
@@ -257,6 +272,42 @@ def test_pipeline_stages_judge_rows(spark, sf_dir):
     assert sorted(x[1] == " " for x in got if x[0] is None) == [False, True]
 
 
+def test_pipeline_takes_empty_tables_and_clashing_columns(spark, sf_dir):
+    import corpus_pipeline
+
+    r = random.Random(14)
+    names = ["_key", "key", "k", "kept", "copies", "size", "_size", "_u", "_b", "_p", "_bits", "_bucket", "component_id", "share", "w", "mean", "host", "row", "piece", "best"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names)
+    t = [" ".join(f"w{r.randrange(5000)}" for _ in range(120)) for _ in range(12)]
+    rows = [(i, x, "en", f"s{i % 2}", 9, *(f"{n}{i}" for n in names)) for i, x in enumerate(t)]
+    rows += [(20, t[3], "en", "s0", 9, *names), (21, t[4] + " more", "en", "s0", 9, *names), (22, "short", "en", "s0", 9, *names), rows[5], rows[5]]
+    d, empty = spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)
+    want = [{*range(12), 20, 21}, {*range(12), 20, 21} - {3}, {*range(12), 20} - {3}]
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        d, empty = stage(spark, d, sf_dir), stage(spark, empty, sf_dir)
+        assert d.columns == empty.columns == [c.split()[0] for c in schema.split(", ")] and empty.count() == 0
+        got = d.collect()
+        assert all(x._key in ("_key", f"_key{x.doc_id}") and x._b in ("_b", f"_b{x.doc_id}") and x.copies in ("copies", f"copies{x.doc_id}") for x in got)
+        if k < 3:
+            assert {x.doc_id for x in got} == want[k] and (k == 0 or len(got) == len(want[k]))
+    assert corpus_pipeline.STAGES[-1][1](spark, empty, sf_dir).count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, d, sf_dir).select("doc_id").distinct().count() == d.select("doc_id").distinct().count()
+
+
+def test_repeated_rows_and_null_ids_in_mixing_packing_and_archives(spark, tokenizer):
+    rows = [(1, "a b c", "s", "x")] * 3 + [(None, "a b c", "s", "x"), (None, None, None, "x"), (2, "d " * 3_000, None, "x")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, copies string")
+    mixed = mix_sources(d).collect()
+    assert len(mixed) == 6 and len({x.taken for x in mixed if x.doc_id == 1}) == 1 and all(0 <= x.taken <= 3 * x["size"] for x in mixed)
+    pieces = P.pack_documents(d, tokenizer).collect()
+    assert sum(x.doc_id == 1 for x in pieces) == 3 and sum(x.doc_id is None for x in pieces) == 2
+    places = sorted((x.sequence_id, x.offset, x.length) for x in pieces)
+    assert all(a[0] != b[0] or a[1] + a[2] == b[1] for a, b in zip(places, places[1:])) and all(x[1] == 0 for x in {p[0]: p for p in reversed(places)}.values())
+    pages = spark.createDataFrame([(1, "u", "p")] * 2 + [(0, "u", "p"), (None, "u", "p"), (None, None, None), (5, "u", "")], "page_id long, url string, html string")
+    out = sorted((x.page_id if x.page_id is not None else -1, x.record_type, x.refers_to) for x in W.archive_pages(pages).collect())
+    assert out == [(-1, "revisit", 1), (-1, "revisit", 5), (0, "revisit", 1), (1, "response", None), (1, "response", None), (5, "response", None)]
+
+
 def test_without_rows_is_an_anti_join(spark, monkeypatch):
     from latticework.llm import common as C
 
