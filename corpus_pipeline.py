@@ -1,7 +1,9 @@
 """The corpus pipeline: rules, exact and near duplicates, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and
-read again as the next stage's documents. All but the last return the columns of documents.
+read again as the next stage's documents. All but the last return the columns of documents. Rows
+are judged one by one, with or without an id; an empty table gives an empty table in every stage;
+columns beside those of documents are carried along by the filters, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,11 +27,12 @@ def _key(*columns):
 def _kept(docs, changed, key):
     """The rows of docs less those that go: changed (key, k) names the keys not all of whose rows stay. Of such a
     key no row stays (k = 0) or one (k = 1), the smallest by its columns."""
-    keyed = docs.withColumn("_key", key)
-    changed = C.stage(changed, "pipeline-changed")
-    stay = C.without_rows(keyed, changed.select(F.col("key").alias("_key")), "_key").select(*docs.columns)
-    once = keyed.join(changed.where("k = 1").select("key"), F.col("_key") == F.col("key"), "left_semi")
-    once = once.groupBy("_key").agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*")
+    (own,) = C.fresh(docs, "_key")
+    keyed = docs.withColumn(own, key)
+    changed = C.stage(changed.select(F.col("key").alias(own), "k"), "pipeline-changed")
+    stay = C.without_rows(keyed, changed.select(own), own).select(*docs.columns)
+    once = keyed.join(changed.where("k = 1").select(own), own, "left_semi")
+    once = once.groupBy(own).agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*")
     return stay.union(once)
 
 
@@ -62,12 +65,15 @@ def ngram_join(spark, docs, sf_dir):
 
 
 def mix(spark, docs, sf_dir):
-    """Documents are repeated as often as the mix takes them, or left out."""
-    mixed = mix_sources(docs).where("copies > 0")
-    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    """Documents are repeated as often as the mix takes them, or left out. A null source is a source of its own; rows
+    without words (null, empty) are never taken."""
+    mixed = mix_sources(docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("_row"))).where("copies > 0")
+    return mixed.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_row.*")
 
 
 def packing(spark, docs, sf_dir):
+    """The pieces of all documents with their places in sequences. A null or empty text is its end id only; repeated
+    rows are packed as often as they occur, with or without an id."""
     return pack_documents(docs, tokenizer_path())
 
 
