@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from latticework.sources.staging import cut
 from latticework.sources.volumes import Geometry
 
 
@@ -74,10 +75,10 @@ def apply_mapping(voxels: DataFrame, mapping: DataFrame, label: str = "label") -
     return out.withColumn(label, F.coalesce("_to", label)).drop("_from", "_to")
 
 
-def first_seen_mapping(voxels: DataFrame, component: str = "component") -> DataFrame:
-    """Components numbered from 1 by their first voxel: (component, label). The window has a row per component."""
-    firsts = voxels.groupBy(component).agg(F.min("idx").alias("first"))
-    return firsts.select(component, F.row_number().over(Window.orderBy("first")).cast("int").alias("label"))
+def first_seen_mapping(voxels: DataFrame, component: str = "component", by: tuple[str, ...] = ()) -> DataFrame:
+    """Components numbered from 1 by their first voxel: (component, label), for each ``by``. The window has a row per component."""
+    firsts = voxels.groupBy(*by, component).agg(F.min("idx").alias("first"))
+    return firsts.select(*by, component, F.row_number().over(Window.partitionBy(*by).orderBy("first")).cast("int").alias("label"))
 
 
 def clean_mapping(labels: DataFrame, label: str = "label") -> DataFrame:
@@ -90,10 +91,11 @@ def global_rank(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
     """Position of every row in a total order, from 0, without a one-task window.
 
     Rows are range-partitioned and ranked within partitions; the partitions' sizes (a row each) give
-    the offsets. The ranged rows are kept, so that both uses see the same partitions.
+    the offsets. The ranged rows are written once, so that both uses see the same partitions.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id()).persist()
+    ranged = df.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id())
+    ranged = cut(ranged)
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     offsets = ranged.groupBy("_p").agg(F.count("*").alias("_n")).select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
     own = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1

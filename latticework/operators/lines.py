@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 XYZ = ("x", "y", "z")
@@ -148,6 +148,24 @@ def label_slots(labels: DataFrame, label: str = "label") -> DataFrame:
     return labels.where(F.col(label).between(0, 252)).select(F.col(label).alias("label"), (F.col(label) + 1).alias("slot")).distinct()
 
 
+def label_colormap(colors: DataFrame, order: str) -> DataFrame:
+    """(slot, r, g, b) from (label, r, g, b): the first colour of labels 0..252 by ``order``, and dark grey in slot 254."""
+    spark = colors.sparkSession
+    first = colors.where("label between 0 and 252").groupBy((F.col("label") + 1).cast("long").alias("slot")).agg(F.min_by(F.struct("r", "g", "b"), order).alias("c"))
+    grey = spark.createDataFrame([(254, 0.1, 0.1, 0.1)], "slot long, r double, g double, b double")
+    return first.select("slot", "c.*").unionByName(grey)
+
+
+def color_source(spark: SparkSession, rgb: tuple | None = None, labels: DataFrame | None = None, colormap: DataFrame | None = None, order: str = "label") -> DataFrame:
+    """(slot, r, g, b) of a display's colours: a colormap sampled over 0..1 (as 0..255), else labels' colours, else a
+    constant colour, else 0.9 grey in all 256 slots."""
+    if colormap is not None:
+        return colormap_samples(colormap, 0.0, 1.0, 256).select("slot", *[F.col(c).cast("double").alias(c) for c in "rgb"])
+    if labels is not None:
+        return label_colormap(labels, order)
+    return spark.range(256).select(F.col("id").alias("slot"), *[F.lit(float(x)).alias(c) for c, x in zip("rgb", rgb or (0.9, 0.9, 0.9))])
+
+
 def toggle_selection(selection: DataFrame, clicked: int, extend: bool) -> DataFrame:
     """Ordered selection (vertex_id, ord) after a click: alone, or added or removed with ``extend``."""
     own = F.col("vertex_id") == clicked

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from latticework.functions.lattice import with_neighbors
 
+XYZ = ("x", "y", "z")
+
 
 def box_mean(voxels: DataFrame, size: int, label: str = "label", value: str = "value") -> DataFrame:
     """(idx, mean) of the foreground values in the cube of +-size around every foreground voxel; 0 for background.
@@ -27,10 +29,18 @@ def ball(radius: int) -> list[tuple[int, int, int]]:
 
 
 def dilation_ring(voxels: DataFrame, radius: int, label: str = "label") -> DataFrame:
-    """(label, idx): background voxels within a ball of each label. Only surface voxels can reach them, and are sent."""
-    fore = voxels.where(F.col(label) > 0).select("x", "y", "z", F.col(label).alias("label"))
-    back = voxels.where(F.col(label) == 0).select(F.col("x").alias("nx"), F.col("y").alias("ny"), F.col("z").alias("nz"), "idx")
-    return with_neighbors(fore, ball(radius), "label").join(back, ["nx", "ny", "nz"]).select("label", "idx").distinct()
+    """(label, idx): background voxels within a ball of each label.
+
+    The label's voxel nearest to a background voxel has another value on the face towards it, so only
+    voxels with such a face are sent out by the ball.
+    """
+    fore = voxels.where(F.col(label) > 0).select("x", "y", "z", F.col(label).alias("label"), *[F.col(c).alias("o" + c) for c in XYZ])
+    place = [F.col(c).alias("n" + c) for c in XYZ]
+    faces = [o for o in ball(1) if any(o)]
+    beside = with_neighbors(fore, faces, "label", "ox", "oy", "oz").join(voxels.select(*place, F.col(label).alias("_other")), ["nx", "ny", "nz"])
+    surface = beside.where(F.col("_other") != F.col("label")).select("label", *[F.col("o" + c).alias(c) for c in XYZ]).distinct()
+    back = voxels.where(F.col(label) == 0).select(*place, "idx")
+    return with_neighbors(surface, ball(radius), "label").join(back, ["nx", "ny", "nz"]).select("label", "idx").distinct()
 
 
 def mean_around_labels(voxels: DataFrame, radius: int, last_label: int, label: str = "label", value: str = "value") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from latticework.functions.lattice import forward, neighbor_pairs
-from latticework.sources.staging import cut
+from latticework.sources.staging import cut, drop_cut
 
 
 def adjacency(voxels: DataFrame, label: str = "label", kind: str = "corners26", skip_first_planes: bool = True) -> DataFrame:
@@ -112,14 +112,20 @@ def connected_components(nodes: DataFrame, edges: DataFrame, rounds: int = 64) -
             break
         hook = e.groupBy("label").agg(F.min("other").alias("up")).select("label", F.least("label", "up").alias("up"))
         for _ in range(2):
-            hook = cut(hook)
+            hook, last = cut(hook), hook
+            drop_cut(last)
             further = hook.select(F.col("label").alias("up"), F.col("up").alias("next"))
             hook = hook.join(further, "up", "left").select("label", F.coalesce("next", "up").alias("up"))
         hook = cut(hook)
         to = lambda n: hook.select(F.col("label").alias(n), F.col("up").alias(n + "_up"))  # noqa: E731,B023
-        c = cut(c.join(to("component"), "component", "left").select("label", F.coalesce("component_up", "component").alias("component")))
+        c, last = cut(c.join(to("component"), "component", "left").select("label", F.coalesce("component_up", "component").alias("component"))), c
+        drop_cut(last)
+        last = e
         e = e.join(to("label"), "label").join(to("other"), "other").select(F.col("label_up").alias("label"), F.col("other_up").alias("other"))
         e = cut(e.where("label <> other").distinct())
+        drop_cut(last, hook)
+    else:
+        raise RuntimeError(f"components are not complete after {rounds} rounds")
     return c
 
 
@@ -215,17 +221,17 @@ def threshold_selected(voxels: DataFrame, selected: DataFrame, value: str, below
     return t.withColumn(label, F.when(F.col("_s").isNotNull() & (F.col(value) < below), 0).otherwise(F.col(label))).drop("_s")
 
 
-def color_regions(stats: DataFrame, edges: DataFrame, colors: int = 12) -> DataFrame:
-    """(label, color): no two neighbours share a color; the first free one is taken in order of label."""
+def color_regions(stats: DataFrame, edges: DataFrame) -> DataFrame:
+    """(label, color): no two neighbours share a color; the first free one is taken in order of label.
+
+    The region tables (not voxels) are gathered in one task.
+    """
     import pandas as pd
 
     rows = stats.select(F.col("label").cast("long").alias("a"), F.col("label").cast("long").alias("b")).union(edges.select(F.col("src").cast("long"), F.col("dst").cast("long")))
 
     def run(t: pd.DataFrame) -> pd.DataFrame:
-        near: dict[int, set] = {}
-        for a, b in zip(t.a, t.b):
-            near.setdefault(a, set()).add(b)
-            near.setdefault(b, set()).add(a)
+        near = _near(zip(t.a, t.b))
         color: dict[int, int] = {}
         for x in sorted(near):
             used = {color[y] for y in near[x] if y in color}
@@ -235,6 +241,45 @@ def color_regions(stats: DataFrame, edges: DataFrame, colors: int = 12) -> DataF
     return rows.groupBy().applyInPandas(run, "label long, color int")
 
 
+def _near(pairs) -> dict[int, set]:
+    near: dict[int, set] = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    return near
+
+
+def palette(levels: int = 5) -> list[tuple[float, float, float]]:
+    """Colours at even steps of red, green and blue."""
+    step = [i / (levels - 1) for i in range(levels)]
+    return [(r, g, b) for r in step for g in step for b in step]
+
+
+def improve_colors(colors: DataFrame, edges: DataFrame, least: float = 0.5, levels: int = 5) -> DataFrame:
+    """(label, r, g, b) after every edge, in order, whose ends differ by less than ``least`` has given its second
+    end the first colour of the palette that differs by so much from all neighbours; if none does, it stays.
+
+    The order matters, so the region tables (not voxels) are gathered in one task.
+    """
+    import pandas as pd
+
+    zero = [F.lit(0.0)] * 3
+    rows = colors.select(F.col("label").cast("long").alias("src"), F.lit(None).cast("long").alias("dst"), *[F.col(c).cast("double") for c in "rgb"])
+    rows = rows.union(edges.select(F.col("src").cast("long"), F.col("dst").cast("long"), *zero))
+
+    def run(t: pd.DataFrame) -> pd.DataFrame:
+        own, pairs = t[t.dst.isna()], sorted(zip(*(t[t.dst.notna()][c].astype("int64") for c in ("src", "dst"))))
+        color = dict(zip(own.src, zip(own.r, own.g, own.b)))
+        near, free = _near(pairs), palette(levels)
+        far = lambda p, q: sum((x - y) * (x - y) for x, y in zip(p, q)) >= least * least
+        for a, b in pairs:
+            if not far(color[a], color[b]):
+                color[b] = next((c for c in free if all(far(c, color[y]) for y in near[b] if y != b)), color[b])
+        return pd.DataFrame([(k, *v) for k, v in sorted(color.items())], columns=["label", "r", "g", "b"])
+
+    return rows.groupBy().applyInPandas(run, "label long, r double, g double, b double")
+
+
 def exterior_field(contact: DataFrame, values: DataFrame) -> DataFrame:
     """A value for every patch: the inner region's where it touches the exterior, else 0."""
     m = patch_material(contact).join(values.select(F.col("label").alias("material"), "value"), "material", "left")

@@ -7,7 +7,7 @@ component in an Arrow-fed grouped function.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from latticework.functions.lattice import forward, neighbor_pairs, offsets
 from latticework.operators.labels import first_seen_mapping
 from latticework.operators.regions import connected_components
-from latticework.sources.staging import cut
+from latticework.sources.staging import cut, drop_cut
 
 
 class Forest:
@@ -139,7 +139,7 @@ def segment(voxels: DataFrame, threshold: float, rule: Rule = Rule(), kind: int
     """(idx, label): regions numbered from 1 by their first voxel, 0 under the threshold."""
     if rule.mode == "adaptive":
         low = voxels.agg(F.min(value)).first()[0]
-        rule = Rule(rule.persistence, rule.min_size, rule.order, rule.mode, rule.width, float(low or 0.0))
+        rule = replace(rule, floor=float(low or 0.0))
     parts = superlevel_components(voxels, threshold, "26", value).select("cc", "idx", "x", "y", "z", F.col(value).alias("value"))
 
     def run(t: pd.DataFrame) -> pd.DataFrame:
@@ -147,7 +147,7 @@ def segment(voxels: DataFrame, threshold: float, rule: Rule = Rule(), kind: int
         s = sweep(g, rule)
         return pd.DataFrame({"idx": g.idx, "component": [int(g.idx[s.find(i)]) for i in range(len(g.idx))]})
 
-    regions = parts.groupBy("cc").applyInPandas(run, "idx long, component long").persist()
+    regions = cut(parts.groupBy("cc").applyInPandas(run, "idx long, component long"))
     named = regions.join(first_seen_mapping(regions), "component").select("idx", "label")
     return voxels.select("idx").join(named, "idx", "left").fillna(0, ["label"])
 
@@ -247,9 +247,13 @@ def critical_edges(edges: DataFrame, rounds: int = 64) -> DataFrame:
     for _ in range(rounds):
         further = up.select(F.col("node").alias("to"), F.col("to").alias("next"))
         step = cut(up.join(further, "to", "left").select("node", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moved")))
+        drop_cut(up)
         up = step.select("node", "to")
+        up._cut_at = step._cut_at
         if step.where("moved").isEmpty():
             break
+    else:
+        raise RuntimeError(f"chains are longer than {rounds} doublings")
     starts = edges.join(regular, "lower", "left_anti")
     out = starts.join(up.withColumnRenamed("node", "higher"), "higher", "left")
     return out.select("lower", F.coalesce("to", "higher").alias("higher"))
@@ -272,36 +276,61 @@ def branch_components(edges: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- fast path over regions
 
 
-def region_merges(voxels: DataFrame, threshold: float, kind: str = "26", value: str = "value") -> DataFrame:
-    """(persistence, size, lower_top, saddle): how long every region but the highest of a component lasts.
+def finest_regions(voxels: DataFrame, threshold: float, kind: str = "26", value: str = "value") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Regions of voxels at or above the threshold: by voxel (idx, region), by region (region, top, n), and the
+    highest pass between two (a, b, saddle, beside).
 
-    Voxels point to their steepest neighbour; pointers are followed to maxima by doubling. The highest
-    pass between two regions is an aggregate over touching voxels, so only that small graph is swept.
+    Voxels point to their steepest neighbour; pointers are followed to maxima, which name the regions, by
+    doubling. A pass is the touching pair of voxels whose lower (then higher) value is largest. Only the
+    region tables are needed for segmentations at any persistence.
     """
     v = voxels.where(F.col(value) >= threshold).select("idx", "x", "y", "z", F.col(value).alias("value"))
-    pairs = neighbor_pairs(v, offsets(kind), ("idx", "value"), {"o": "idx", "ov": "value"})
+    pairs = cut(neighbor_pairs(v, offsets(kind), ("idx", "value"), {"o": "idx", "ov": "value"}).select("idx", "value", "o", "ov"))
     steep = pairs.groupBy("idx").agg(F.max(F.struct("ov", "o")).alias("best"))
     p = cut(v.join(steep, "idx", "left").select("idx", "value", F.when(F.col("best") > F.struct(F.col("value").alias("ov"), F.col("idx").alias("o")), F.col("best.o")).otherwise(F.col("idx")).alias("to")))
     for _ in range(64):
         hop = p.select(F.col("idx").alias("to"), F.col("to").alias("further"))
         q = cut(p.join(hop, "to").select("idx", "value", F.col("further").alias("to"), F.col("to").alias("was")))
         moved = not q.where("to <> was").isEmpty()
-        p = q.drop("was")
+        drop_cut(p)
+        p = q
         if not moved:
             break
+    else:
+        raise RuntimeError("ways to maxima are longer than 64 doublings")
     of = lambda n: p.select(F.col("idx").alias(n), F.col("to").alias(n + "_max"))
     passes = pairs.where("idx < o").join(of("idx"), "idx").join(of("o"), "o").where("idx_max <> o_max")
-    passes = passes.groupBy(F.least("idx_max", "o_max").alias("a"), F.greatest("idx_max", "o_max").alias("b")).agg(F.max(F.least("value", "ov")).alias("saddle"))
-    tops = p.groupBy(F.col("to").alias("a")).agg(F.max("value").alias("top"), F.count("*").alias("n"))
-    rows = passes.select("a", "b", "saddle", F.lit(0).cast("long").alias("n")).unionByName(tops.select("a", F.col("a").alias("b"), F.col("top").alias("saddle"), "n"))
+    height = F.max(F.struct(F.least("value", "ov").alias("saddle"), F.greatest("value", "ov").alias("beside"))).alias("pass")
+    passes = passes.groupBy(F.least("idx_max", "o_max").alias("a"), F.greatest("idx_max", "o_max").alias("b")).agg(height).select("a", "b", "pass.*")
+    tops = p.groupBy(F.col("to").alias("region")).agg(F.max("value").alias("top"), F.count("*").alias("n"))
+    return p.select("idx", F.col("to").alias("region")), tops, passes
+
+
+def _region_rows(tops: DataFrame, passes: DataFrame) -> DataFrame:
+    own = tops.select(F.col("region").alias("a"), F.col("region").alias("b"), F.col("top").alias("saddle"), F.lit(0.0).alias("beside"), "n")
+    return passes.select("a", "b", "saddle", "beside", F.lit(0).cast("long").alias("n")).unionByName(own)
+
+
+def _passes_down(t: pd.DataFrame):
+    """Regions' place, top and size, and passes (i, j, height) from the highest down."""
+    own = t[t.a == t.b].sort_values("a")
+    at = dict(zip(own.a, range(len(own))))
+    p = t[t.a != t.b].sort_values(["saddle", "beside", "a", "b"], ascending=[False, False, True, True])
+    return at, own.saddle.tolist(), own.n.tolist(), list(zip(p.a.map(at), p.b.map(at), p.saddle))
+
+
+def region_merges(voxels: DataFrame, threshold: float, kind: str = "26", value: str = "value") -> DataFrame:
+    """(persistence, size, lower_top, saddle): how long every region but the highest of a component lasts.
+
+    The region tables (not voxels) are gathered in one task.
+    """
+    _, tops, passes = finest_regions(voxels, threshold, kind, value)
 
     def run(t: pd.DataFrame) -> pd.DataFrame:
-        own = t[t.a == t.b]
-        at = {a: i for i, a in enumerate(own.a)}
-        top, n = own.saddle.tolist(), own.n.tolist()
+        at, top, n, down = _passes_down(t)
         s, out = Forest(len(at)), []
-        for a, b, h in t[t.a != t.b].sort_values(["saddle", "a", "b"], ascending=[False, True, True])[["a", "b", "saddle"]].itertuples(index=False):
-            i, j = s.find(at[a]), s.find(at[b])
+        for i, j, h in down:
+            i, j = s.find(i), s.find(j)
             if i != j:
                 if (top[i], n[i]) < (top[j], n[j]):
                     i, j = j, i
@@ -312,26 +341,105 @@ def region_merges(voxels: DataFrame, threshold: float, kind: str = "26", value:
         out += [(float("inf"), n[i], top[i], float("-inf")) for i in range(len(at)) if s.find(i) == i]
         return pd.DataFrame(out, columns=["persistence", "size", "top", "saddle"])
 
-    return rows.groupBy().applyInPandas(run, "persistence double, size long, top double, saddle double")
+    return _region_rows(tops, passes).groupBy().applyInPandas(run, "persistence double, size long, top double, saddle double")
+
+
+def segment_regions(regions: DataFrame, tops: DataFrame, passes: DataFrame, rule: Rule = Rule()) -> DataFrame:
+    """(idx, label) of voxels in ``finest_regions`` after merges by the rule, from the highest pass down.
+
+    For another rule only this is done again, on the region tables (gathered in one task). A region
+    counts with all its voxels, so with a minimum size the result differs from ``segment``; without one it
+    is that of ``segment`` in order of value. An adaptive rule needs its ``floor``.
+    """
+
+    def run(t: pd.DataFrame) -> pd.DataFrame:
+        at, top, n, down = _passes_down(t)
+        s = Forest(len(at))
+        for i, j, h in down:
+            i, j = s.find(i), s.find(j)
+            if i != j and rule.merges(top[i], n[i], top[j], n[j], h):
+                best, size = max(top[i], top[j]), n[i] + n[j]
+                k = s.union(i, j)
+                top[k], n[k] = best, size
+        names = list(at)
+        return pd.DataFrame({"region": names, "component": [names[s.find(i)] for i in range(len(names))]}, columns=["region", "component"])
+
+    merged = _region_rows(tops, passes).groupBy().applyInPandas(run, "region long, component long")
+    named = cut(regions.join(cut(merged), "region").select("idx", "component"))
+    return named.join(first_seen_mapping(named), "component").select("idx", "label")
 
 
-def persistence_plot(merges: DataFrame, highest: float, samples: int = 200) -> DataFrame:
-    """(persistence, segments) at evenly spaced persistences from 0: regions that last longer."""
+def segment_fast(voxels: DataFrame, threshold: float, rule: Rule = Rule(), kind: str = "26", value: str = "value") -> DataFrame:
+    """(idx, label) of every voxel by the region graph, 0 under the threshold; no voxel goes through a single task."""
+    if rule.mode == "adaptive":
+        rule = replace(rule, floor=float(voxels.agg(F.min(value)).first()[0] or 0.0))
+    named = segment_regions(*finest_regions(voxels, threshold, kind, value), rule)
+    return voxels.select("idx").join(named, "idx", "left").fillna(0, ["label"])
+
+
+def persistence_plot(merges: DataFrame, highest: float, samples: int = 200, ties: bool = False) -> DataFrame:
+    """(persistence, segments) at evenly spaced persistences from 0: regions that last longer, or as long with ``ties``."""
     spark = merges.sparkSession
     s = spark.range(samples).select((F.col("id") * F.lit(highest / (samples - 1))).alias("p"))
-    curve = s.withColumn("at", F.lit(True)).unionByName(merges.select(F.col("persistence").alias("p"), F.lit(False).alias("at")))
+    curve = s.withColumn("at", F.lit(not ties)).unionByName(merges.select(F.col("persistence").alias("p"), F.lit(ties).alias("at")))
     w = Window.partitionBy().orderBy(F.col("p").desc(), F.col("at").desc())  # samples and one row per region
-    return curve.withColumn("segments", F.count_if(~F.col("at")).over(w)).where("at").select(F.col("p").alias("persistence"), "segments")
+    return curve.withColumn("segments", F.count_if(F.col("at") == ties).over(w)).where(F.col("at") != ties).select(F.col("p").alias("persistence"), "segments")
+
+
+def merge_events(voxels: DataFrame, threshold: float, rule: Rule = Rule(), kind: int = 26, value: str = "value") -> DataFrame:
+    """(persistence): how long each region of the sweep lasts, infinite for the last one of a component.
 
+    Where regions meet at a voxel, all but the largest that are smaller than ``rule.min_size`` merge whatever the
+    persistence, and are no row; of the others all but the highest last from their top down to the voxel.
+    The voxel counts for the first region beside it. Adaptive: as a share of the height above the minimum.
+    """
+    if rule.mode == "adaptive":
+        rule = replace(rule, floor=float(voxels.agg(F.min(value)).first()[0] or 0.0))
+    parts = superlevel_components(voxels, threshold, "26", value).select("cc", "idx", "x", "y", "z", F.col(value).alias("value"))
 
-def persistence_sweep(voxels: DataFrame, threshold: float, first: float, last: float, step: float, **rule) -> DataFrame:
-    """(persistence, idx, label) for every persistence from first to last, the last included."""
-    out = None
-    for k in range(int(round((last - first) / step)) + 1):
-        p = first + k * step
-        one = segment(voxels, threshold, Rule(persistence=p, **rule)).withColumn("persistence", F.lit(p))
-        out = one if out is None else out.unionByName(one)
-    return out
+    def run(t: pd.DataFrame) -> pd.DataFrame:
+        g = Grid(t, kind)
+        s, top, out = Forest(len(g.idx)), g.value.copy(), []
+        for i, at in enumerate(g.value):
+            found = _ranked(g.earlier(i), g, s, rule.order)
+            beside = list(dict.fromkeys(s.find(j) for j in found))
+            meet = sorted((s.size[c] + (k == 0), top[c]) for k, c in enumerate(beside))
+            merged = sum(n < rule.min_size for n, _ in meet[:-1])
+            by_height = sorted((high, k < len(meet) - 1 and n < rule.min_size) for k, (n, high) in enumerate(meet))
+            for high, by_size in by_height[:-1]:
+                if not by_size and merged < len(meet) - 1:
+                    merged += 1
+                    out.append((high - at) / (high - rule.floor) if rule.mode == "adaptive" else high - at)
+            for c in beside:
+                best = max(top[s.find(i)], top[s.find(c)])
+                top[s.union(i, c)] = best
+        return pd.DataFrame({"persistence": [*out, float("inf")]})
+
+    return parts.groupBy("cc").applyInPandas(run, "persistence double")
+
+
+def persistence_sweep(voxels: DataFrame, threshold: float, first: float, last: float, step: float, kind: int = 26, value: str = "value", **rule) -> DataFrame:
+    """(persistence, idx, label) for every persistence from first to last, the last included.
+
+    Components are found once; a component's voxels are ordered once for all persistences.
+    """
+    steps = [first + k * step for k in range(int(round((last - first) / step)) + 1)]
+    base = Rule(**rule)
+    if base.mode == "adaptive":
+        base = replace(base, floor=float(voxels.agg(F.min(value)).first()[0] or 0.0))
+    parts = superlevel_components(voxels, threshold, "26", value).select("cc", "idx", "x", "y", "z", F.col(value).alias("value"))
+
+    def run(t: pd.DataFrame) -> pd.DataFrame:
+        g, out = Grid(t, kind), []
+        for p in steps:
+            s = sweep(g, replace(base, persistence=p))
+            out.append(pd.DataFrame({"persistence": p, "idx": g.idx, "component": [int(g.idx[s.find(i)]) for i in range(len(g.idx))]}))
+        return pd.concat(out)
+
+    regions = cut(parts.groupBy("cc").applyInPandas(run, "persistence double, idx long, component long"))
+    named = regions.join(first_seen_mapping(regions, by=("persistence",)), ["persistence", "component"]).select("persistence", "idx", "label")
+    every = voxels.select("idx").withColumn("persistence", F.explode(F.array(*[F.lit(p) for p in steps])))
+    return every.join(named, ["persistence", "idx"], "left").fillna(0, ["label"])
 
 
 # ---------------------------------------------------------------- splits of one label

@@ -13,6 +13,7 @@ from latticework.operators import metrics as M
 from latticework.operators import neighborhood as N
 from latticework.operators import regions as R
 from latticework.operators import segmentation as S
+from latticework.plans import folds as SQL
 from latticework.plans.registry import query
 from latticework.sources import volumes as V
 
@@ -317,7 +318,7 @@ def _(spark, d):
     return _hits(spark, d)
 
 
-@q("landmark_labels_search", "landmark_id:l label:l")
+@q("landmark_labels_search", "landmark_id:l label:l", SQL.search(SIDE))
 def _(spark, d):
     return M.landmark_labels_search(marks(spark, d), vox(spark, d), G, "a")
 
@@ -454,23 +455,19 @@ def _(spark, d):
     return R.critical_degree(stats(v), edges(v), 7, 12)
 
 
-_CC = "RECURSIVE thin AS (SELECT src, dst FROM edges WHERE src % 4 <> 0 AND dst % 3 <> 0), tw AS (SELECT src AS p, dst AS q FROM thin UNION SELECT dst, src FROM thin), reach(label, c) AS (SELECT label, label FROM stats UNION SELECT tw.q, r.c FROM reach r JOIN tw ON tw.p = r.label), cc AS (SELECT label, min(c) AS component FROM reach GROUP BY label)"
-
-
-def _thin(v):
-    return edges(v).where("src % 4 <> 0 and dst % 3 <> 0")
+_CC = "RECURSIVE tw AS (SELECT src AS p, dst AS q FROM edges UNION SELECT dst, src FROM edges), reach(label, c) AS (SELECT label, label FROM stats UNION SELECT tw.q, r.c FROM reach r JOIN tw ON tw.p = r.label), cc AS (SELECT label, min(c) AS component FROM reach GROUP BY label)"
 
 
 @q("region_components", "label:l component:l", f"WITH {_CC} SELECT * FROM cc")
 def _(spark, d):
     v = vox(spark, d)
-    return R.connected_components(stats(v).select("label"), _thin(v))
+    return R.connected_components(stats(v).select("label"), edges(v))
 
 
-@q("critical_component_size", "label:l", f"WITH {_CC} SELECT label FROM cc WHERE component IN (SELECT component FROM cc GROUP BY 1 HAVING count(*) < 3)")
+@q("critical_component_size", "label:l", f"WITH {_CC} SELECT label FROM cc WHERE component IN (SELECT component FROM cc GROUP BY 1 HAVING count(*) < 70)")
 def _(spark, d):
     v = vox(spark, d)
-    return R.critical_component_size(stats(v), _thin(v), 3)
+    return R.critical_component_size(stats(v), edges(v), 70)
 
 
 @q("critical_buffer", "label:l", "(SELECT label FROM small UNION SELECT label FROM degrees WHERE degree < 7) EXCEPT SELECT label FROM stats WHERE label % 2 = 0")
@@ -514,7 +511,30 @@ def _(spark, d):
     return R.meld(R.removal(small(st)), st, edges(v))[1]
 
 
-@q("meld_critical", "label:l target:l")
+@q(
+    "clean_graph_vertices", "label:l n:l cx:d cy:d cz:d",
+    "SELECT row_number() OVER (ORDER BY label) AS label, n, cx, cy, cz FROM stats WHERE label NOT IN (SELECT label FROM small)",
+)
+def _(spark, d):
+    return _cleaned(vox(spark, d))[0]
+
+
+@q(
+    "clean_graph_edges", "src:l dst:l",
+    "WITH m AS (SELECT label, row_number() OVER (ORDER BY label) AS t FROM stats WHERE label NOT IN (SELECT label FROM small)) SELECT p.t AS src, q.t AS dst FROM edges JOIN m p ON p.label = src JOIN m q ON q.label = dst",
+)
+def _(spark, d):
+    return _cleaned(vox(spark, d))[1]
+
+
+def _cleaned(v):
+    """The region graph without its small regions, renumbered without gaps."""
+    st = stats(v)
+    left = R.meld(R.removal(small(st)), st, edges(v))
+    return R.meld(LB.clean_mapping(left[0]), *left)
+
+
+@q("meld_critical", "label:l target:l", SQL.MELD_CRITICAL)
 def _(spark, d):
     v = vox(spark, d)
     st = stats(v)
@@ -558,12 +578,20 @@ def _(spark, d):
     return R.connecting_edges(stats(v).select("label", (F.col("label") - 1).alias("other")), edges(v))
 
 
-@q("color_regions", "label:l color:l")
+@q("color_regions", "label:l color:l", SQL.COLORS)
 def _(spark, d):
     v = vox(spark, d)
     return R.color_regions(stats(v), edges(v))
 
 
+@q("improve_colors", "label:l r:d g:d b:d", SQL.improved_colors("label % 3 * 31"))
+def _(spark, d):
+    v = vox(spark, d)
+    k = F.col("label") % 3 * 31
+    start = stats(v).select("label", (F.floor(k / 25) / 4).alias("r"), (F.floor(k / 5) % 5 / 4).alias("g"), (k % 5 / 4).alias("b"))
+    return R.improve_colors(start, edges(v))
+
+
 # ---------------------------------------------------------------- segmentation and splits
 
 
@@ -572,32 +600,53 @@ def _field(spark, d):
     return vox(spark, d).withColumn("value", F.col("v") + F.col("idx") / 100000.0)
 
 
-@q("segment_majority", "idx:l label:l")
+@q("segment_majority", "idx:l label:l", SQL.segmentation(130, "majority", "60", 5))
 def _(spark, d):
     return S.segment(_field(spark, d), 130, S.Rule(persistence=60.0, min_size=5))
 
 
-@q("segment_value_order", "idx:l label:l")
+@q("segment_value_order", "idx:l label:l", SQL.segmentation(130, "value", "60"))
 def _(spark, d):
     return S.segment(_field(spark, d), 130, S.Rule(persistence=60.0, order="value"))
 
 
-@q("segment_adaptive", "idx:l label:l")
+@q("segment_adaptive", "idx:l label:l", SQL.adaptive(130, "0.3"))
 def _(spark, d):
     return S.segment(_field(spark, d), 130, S.Rule(persistence=0.3, mode="adaptive"))
 
 
-@q("segment_sweep", "persistence:d idx:l label:l")
+_WIDTH = f"""width AS (SELECT vmax - vmin AS width FROM (SELECT lo + (hi - lo) / 256 * coalesce(imin, 0) AS vmin, lo + (hi - lo) / 256 * least(255, coalesce(stop + 1, 0)) AS vmax FROM (
+  SELECT max(CASE WHEN upto <= round_even(t * 0.05, 0) THEN bin END) AS imin, max(CASE WHEN upto - n < round_even(t * 0.95, 0) THEN bin END) AS stop FROM (
+    SELECT bin, n, sum(n) OVER (ORDER BY bin) AS upto, sum(n) OVER () AS t FROM ({_HIST}))), (SELECT min(v) AS lo, max(v) AS hi FROM vox))), """
+
+
+@q("segment_relative", "idx:l label:l", SQL.segmentation(130, "majority", "0.2 * width", before=_WIDTH, beside="width"))
+def _(spark, d):
+    r = LB.robust_range(vox(spark, d), "v").first()  # one row
+    return S.segment(_field(spark, d), 130, S.Rule(persistence=0.2, mode="relative", width=r.vmax - r.vmin))
+
+
+@q("segment_fast", "idx:l label:l", SQL.segmentation(130, "value", "60"))
+def _(spark, d):
+    return S.segment_fast(_field(spark, d), 130, S.Rule(persistence=60.0))
+
+
+@q("segment_fast_min_size", "idx:l label:l", SQL.fast(130, "60", 5))
+def _(spark, d):
+    return S.segment_fast(_field(spark, d), 130, S.Rule(persistence=60.0, min_size=5))
+
+
+@q("segment_sweep", "persistence:d idx:l label:l", SQL.sweep(130, "majority", [20.0, 40.0, 60.0]))
 def _(spark, d):
-    return S.persistence_sweep(_field(spark, d), 160, 20, 60, 20)
+    return S.persistence_sweep(_field(spark, d), 130, 20, 60, 20)
 
 
-@q("join_tree", "cc:l lower:l higher:l")
+@q("join_tree", "cc:l lower:l higher:l", f"WITH {SQL.tree(150)} SELECT * FROM te")
 def _(spark, d):
     return S.tree_edges(_field(spark, d), 150)
 
 
-@q("split_tree", "cc:l lower:l higher:l")
+@q("split_tree", "cc:l lower:l higher:l", f"WITH {SQL.tree(150, split=True)} SELECT * FROM te")
 def _(spark, d):
     return S.tree_edges(_field(spark, d), 150, split=True)
 
@@ -607,39 +656,54 @@ def _(spark, d):
     return S.contour_tree(_field(spark, d), 150)
 
 
-@q("critical_points", "idx:l up:l down:l kind:s")
+@q("critical_points", "idx:l up:l down:l kind:s", f"WITH {SQL.tree(150)}, {SQL.POINTS} SELECT * FROM kinds")
 def _(spark, d):
     return S.critical_points(S.tree_edges(_field(spark, d), 150))
 
 
-@q("critical_edges", "lower:l higher:l")
+@q(
+    "critical_edges", "lower:l higher:l",
+    f"""WITH RECURSIVE {SQL.tree(150)}, {SQL.POINTS},
+up(lower, higher) AS (SELECT lower, higher FROM te WHERE lower NOT IN (SELECT idx FROM kinds WHERE kind = 'regular') UNION ALL SELECT up.lower, te.higher FROM up JOIN te ON te.lower = up.higher WHERE up.higher IN (SELECT idx FROM kinds WHERE kind = 'regular'))
+SELECT * FROM up WHERE higher NOT IN (SELECT idx FROM kinds WHERE kind = 'regular')""",
+)
 def _(spark, d):
     return S.critical_edges(S.tree_edges(_field(spark, d), 150))
 
 
-@q("maxima_and_saddles", "idx:l kind:s")
+@q("maxima_and_saddles", "idx:l kind:s", f"WITH {SQL.tree(150)}, {SQL.POINTS} SELECT idx, CASE WHEN up = 0 THEN 'max' ELSE 'saddle' END AS kind FROM kinds WHERE up <> 1")
 def _(spark, d):
     return S.maxima_and_saddles(S.tree_edges(_field(spark, d), 150))
 
 
-@q("branch_components", "label:l component:l")
+@q(
+    "branch_components", "label:l component:l",
+    f"""WITH RECURSIVE {SQL.tree(150)}, {SQL.POINTS}, link AS (SELECT lower, higher FROM te WHERE lower IN (SELECT idx FROM kinds WHERE up = 1)),
+way(label, place) AS (SELECT idx, idx FROM kinds UNION ALL SELECT label, higher FROM way JOIN link ON link.lower = way.place),
+tops AS (SELECT label, place FROM way WHERE place NOT IN (SELECT lower FROM link)) SELECT label, min(label) OVER (PARTITION BY place) AS component FROM tops""",
+)
 def _(spark, d):
-    return S.branch_components(S.tree_edges(_field(spark, d), 170))
+    return S.branch_components(S.tree_edges(_field(spark, d), 150))
 
 
-@q("region_merges", "persistence:d size:l top:d saddle:d")
+@q("region_merges", "persistence:d size:l top:d saddle:d", f"WITH {SQL.region_merges(130)} SELECT * FROM rm")
 def _(spark, d):
     return S.region_merges(_field(spark, d), 130).replace(float("inf"), None, ["persistence"]).replace(float("-inf"), None, ["saddle"])
 
 
-@q("persistence_plot", "persistence:d segments:l")
+@q("persistence_plot", "persistence:d segments:l", f"WITH {SQL.region_merges(130)} {SQL.curve('rm', 400.0, 200, '>')}")
 def _(spark, d):
     return S.persistence_plot(S.region_merges(_field(spark, d), 130), 400.0)
 
 
-for _how in ("two", "standard", "spectral"):
+@q("persistence_plot_default", "persistence:d segments:l", f"WITH {SQL.ordered(130)}, {SQL.events(130, 5)} {SQL.curve('ev', 400.0, 10000, '>=')}")
+def _(spark, d):
+    return S.persistence_plot(S.merge_events(_field(spark, d), 130, S.Rule(min_size=5)), 400.0, 10_000, ties=True)
+
+
+for _how, _sql in (("two", SQL.split_two(22)), ("standard", SQL.split_standard(22, 40.0)), ("spectral", None)):
 
-    @q(f"split_{_how}", "idx:l label:l")
+    @q(f"split_{_how}", "idx:l label:l", _sql)
     def _(spark, d, how=_how):
         v = _field(spark, d).select("idx", "x", "y", "z", F.col("a").alias("label"), F.col("value").alias("distance"))
         return S.split_label(v, 22, how, persistence=40.0)
@@ -650,13 +714,22 @@ for _how in ("two", "standard", "spectral"):
 for _plane in ("axes", "sphere", "normals"):
     for _how in ("one", "two", "average"):
 
-        @q(f"distance_{_plane}_{_how}", "idx:l distance:d")
+        @q(f"distance_{_plane}_{_how}", "idx:l distance:d", SQL.in_plane(SIDE, _how) if _plane == "normals" else None)
         def _(spark, d, plane=_plane, how=_how):
-            v = vox(spark, d).withColumns({"nx": F.lit(0.0), "ny": F.lit(0.6), "nz": F.lit(0.8)})
-            return D.distance_map(v, G, how, plane, sphere=D.sphere_directions(SPHERE), label="a")
+            return D.distance_map(_with_normals(spark, d), G, how, plane, sphere=D.sphere_directions(SPHERE), label="a")
+
+
+def _with_normals(spark, d):
+    return vox(spark, d).withColumns({"nx": F.lit(0.0), "ny": F.lit(0.6), "nz": F.lit(0.8)})
+
+
+@q("distance_field", "idx:l distance:d", f"SELECT vox.idx, coalesce(m.distance, 0) AS distance FROM vox LEFT JOIN ({SQL.in_plane(SIDE, 'one')}) m USING (idx)")
+def _(spark, d):
+    v = _with_normals(spark, d)
+    return D.distance_field(v, D.distance_map(v, G, "one", "normals", label="a"))
 
 
-@q("ray_hits", "landmark_id:l ray:l x:d y:d z:d")
+@q("ray_hits", "landmark_id:l ray:l x:d y:d z:d", SQL.landmark_rays(SIDE, D.sphere_directions(8)))
 def _(spark, d):
     return D.ray_hits(marks(spark, d), vox(spark, d), G, D.sphere_directions(8), "a")
 
@@ -762,6 +835,19 @@ def _(spark, d):
     return LN.label_slots(vox(spark, d), "a")
 
 
+@q(
+    "color_source", "kind:s slot:l r:d g:d b:d",
+    """SELECT 'none' AS kind, i AS slot, 0.9 AS r, 0.9 AS g, 0.9 AS b FROM range(256) r(i) UNION ALL SELECT 'constant', i, 0.2, 0.4, 0.6 FROM range(256) r(i)
+UNION ALL SELECT 'labels', a + 1, min(idx) % 256 / 255.0, min(idx) % 128 / 127.0, min(idx) % 64 / 63.0 FROM vox GROUP BY a UNION ALL SELECT 'labels', 254, 0.1, 0.1, 0.1""",
+)
+def _(spark, d):
+    part = lambda n: (F.col("idx") % n / (n - 1))
+    colors = vox(spark, d).select("idx", F.col("a").alias("label"), part(256).alias("r"), part(128).alias("g"), part(64).alias("b"))
+    sources = {"none": {}, "constant": {"rgb": (0.2, 0.4, 0.6)}, "labels": {"labels": colors, "order": "idx"}}
+    none, constant, labels = (LN.color_source(spark, **s).withColumn("kind", F.lit(k)) for k, s in sources.items())
+    return none.unionByName(constant).unionByName(labels)
+
+
 @q("toggle_selection", "vertex_id:l ord:l", "SELECT label AS vertex_id, n AS ord FROM stats WHERE label <> 7 UNION ALL SELECT 900, max(n) + 1 FROM stats WHERE label <> 7")
 def _(spark, d):
     s = stats(vox(spark, d)).select(F.col("label").cast("long").alias("vertex_id"), F.col("n").alias("ord"))

@@ -209,31 +209,163 @@ def test_split_of_two_hills(spark, how):
     assert len(set(got)) == 2 and got[0] == got[1] == got[2] and got[4] == got[5] == got[6] and got[0] != got[6]
 
 
+def bits_of(fore):
+    return np.packbits(fore.ravel(), bitorder="little")
+
+
+def plain_march(fore, start, direction):
+    """One ray, step by step, through voxels of size 1; distance and place."""
+    major = int(np.argmax(np.abs(direction)))
+    if not direction[major]:
+        return D.MISS, None
+    step = direction / abs(direction[major])
+    base = math.floor(start[major])
+    first = start + step * ((base - start[major]) * np.sign(direction[major]))
+    first[major] = base
+    for k in range(1, 100):
+        cell = np.floor(first + k * step + 0.5).astype(int)
+        if (cell < 0).any() or (cell >= fore.shape[::-1]).any():
+            return D.MISS, None
+        if not fore[cell[2], cell[1], cell[0]]:
+            return float(np.linalg.norm(cell - first)), cell.astype(float)
+
+
 def test_ray_march():
     fore = np.ones((5, 5, 9), bool)
     fore[:, :, 7] = False
-    g = V.Geometry((9, 5, 5))
-    assert D.march(fore, g, np.array([2.0, 2.0, 2.0]), np.array([1.0, 0, 0]))[0] == 5.0
-    assert D.march(fore, g, np.array([2.0, 2.0, 2.0]), np.array([-1.0, 0, 0]))[0] == D.MISS
+    g, middle = V.Geometry((9, 5, 5)), np.full((3, 3), 2.0)
+    distance, where = D.march(bits_of(fore), g, middle, np.array([[1.0, 0, 0], [-1.0, 0, 0], [0, 0, 0]]))
+    assert distance.tolist() == [5.0, D.MISS, D.MISS] and where[0].tolist() == [7, 2, 2] and np.isnan(where[1:]).all()
     assert np.allclose(D.plane_by_hits(np.array([[0, 0, 1.0], [1, 0, 1], [0, 1, 1], [3, 2, 1]])) ** 2, [0, 0, 1])
+    r = np.random.default_rng(5)
+    fore = r.random((6, 5, 7)) < 0.7
+    start, way = r.random((400, 3)) * [7, 5, 6], r.normal(size=(400, 3))
+    distance, where = D.march(bits_of(fore), V.Geometry((7, 5, 6)), start, way)
+    for d, p, a, b in zip(distance, where, start, way):
+        want = plain_march(fore, a, b)
+        assert d == pytest.approx(want[0]) and (want[1] is None and np.isnan(p).all() or (p == want[1]).all())
+
+
+def plain_plane(fore, at, plane, size, sphere):
+    if plane == "normals":
+        return np.array([0, 0.6, 0.8])
+    if plane == "sphere":
+        hits = [p for p in (plain_march(fore, np.array(at, float), s)[1] for s in sphere) if p is not None]
+        return np.linalg.svd(np.array(hits) - np.mean(hits, 0), full_matrices=False)[2][-1] if len(hits) > 2 else np.zeros(3)  # the same sign: many rays end on edges
+    cube = lambda r: np.array([(x, y, z) for z, y, x in np.argwhere(fore) if max(abs(x - at[0]), abs(y - at[1]), abs(z - at[2])) <= r], float)
+    own = cube(size)
+    if len(own) < 3:
+        return np.zeros(3)
+    own = own - cube(20).mean(0)
+    return np.linalg.eigh(own.T @ own)[1][:, 0]
 
 
+@pytest.mark.parametrize("plane", ["axes", "sphere", "normals"])
 @pytest.mark.parametrize("how", ["one", "two", "average"])
-def test_distance_map_is_brute_force(spark, how):
+def test_distance_map_is_brute_force(spark, how, plane, monkeypatch):
+    monkeypatch.setattr(D, "RAYS_AT_ONCE", 100)
     r = np.random.default_rng(3)
     fore = r.random((6, 5, 7)) < 0.8
-    g = V.Geometry((7, 5, 6))
+    g, sphere = V.Geometry((7, 5, 6)), D.sphere_directions(20)
     v = volume(spark, (7, 5, 6), label=[int(x) for x in fore.ravel()]).withColumns({"nx": F.lit(0.0), "ny": F.lit(0.6), "nz": F.lit(0.8)})
-    u = D.orthogonal(np.array([0, 0.6, 0.8]))
-    w = np.cross([0, 0.6, 0.8], u)
     want = {}
     for z, y, x in np.argwhere(fore):
-        ray = lambda a: D.march(fore, g, np.array([x, y, z], float), np.cos(a) * u + np.sin(a) * w)[0]  # noqa: E731,B023
-        turn = [2 * np.pi * k / 12 for k in range(13)]
+        n = plain_plane(fore, (x, y, z), plane, 2, sphere)
+        if not n.any():
+            want[(z * 5 + y) * 7 + x] = D.MISS
+            continue
+        u = D.orthogonal(n[None])[0]
+        w = np.cross(n, u)
+        ray = lambda a: plain_march(fore, np.array([x, y, z], float), math.cos(a) * u + math.sin(a) * w)[0]  # noqa: E731,B023
+        turn = [2 * math.pi * k / 12 for k in range(13)]
         hits = [d for d in map(ray, turn) if d < D.MISS]
-        want[(z * 5 + y) * 7 + x] = {"one": min(map(ray, turn)), "two": min(ray(a / 2) + ray(a / 2 + np.pi) for a in turn[:-1]), "average": sum(hits) / len(hits) if hits else 0.0}[how]
-    got = {x.idx: x.distance for x in D.distance_map(v, g, how, "normals", rays=13).collect()}
-    assert got == pytest.approx(want)
+        half = [math.pi * k / 12 for k in range(12)]
+        want[(z * 5 + y) * 7 + x] = {"one": min(map(ray, turn)), "two": min(ray(a) + ray(a + math.pi) for a in half), "average": sum(hits) / len(hits) if hits else 0.0}[how]
+    got = {x.idx: x.distance for x in D.distance_map(v, g, how, plane, rays=13, size=2, sphere=sphere).collect()}
+    off = [i for i in want if abs(got[i] - want[i]) > 1e-6]
+    assert got.keys() == want.keys() and len(off) <= (0 if plane == "normals" else 4)  # a ray through an edge may fall either way
+
+
+def test_distance_maps_check_their_inputs(spark):
+    v = volume(spark, (2, 1, 1), label=[1, 0])
+    for wrong in ({"how": "three"}, {"plane": "none"}, {"plane": "sphere"}, {"plane": "normals"}):
+        with pytest.raises(ValueError):
+            D.distance_map(v, V.Geometry((2, 1, 1)), **wrong)
+
+
+def test_distance_field_is_zero_outside(spark):
+    v = volume(spark, (3, 1, 1), label=[1, 0, 1])
+    m = spark.createDataFrame([(0, 2.5)], "idx long, distance double")
+    assert column(D.distance_field(v, m), "distance") == [2.5, 0.0, 0.0]
+
+
+@pytest.mark.parametrize("radius", [1, 2, 3])
+def test_dilation_is_that_of_all_voxels(spark, radius):
+    r = np.random.RandomState(4)
+    label = (r.randint(0, 4, (6, 7, 8)) * (r.rand(6, 7, 8) < 0.3)).astype(int)
+    label[2:4, 2:5, 2:6] = 3
+    got = {(x.label, x.idx) for x in N.dilation_ring(volume(spark, (8, 7, 6), label=label.ravel().tolist()), radius).collect()}
+    cells = [(z, y, x) for z in range(6) for y in range(7) for x in range(8)]
+    want = {(int(label[p]), (q[0] * 7 + q[1]) * 8 + q[2]) for p in cells if label[p] for q in cells if not label[q] and sum((a - b) ** 2 for a, b in zip(p, q)) <= radius * radius}
+    assert got == want
+
+
+@pytest.mark.parametrize("mode", ["absolute", "adaptive"])
+def test_fast_segmentation_is_the_sweep_by_value(spark, mode):
+    for seed in (1, 2, 3):
+        values = (np.random.RandomState(seed).permutation(216) / 20.0).tolist()
+        v = volume(spark, (6, 6, 6), value=values)
+        for p in (0.0, 0.15, 0.4, 2.0):
+            rule = S.Rule(p, order="value", mode=mode)
+            assert column(S.segment_fast(v, 5.0, rule), "label") == plain_sweep(values, (6, 6, 6), 5.0, rule)
+    assert set(column(S.segment_fast(v, 99.0, rule), "label")) == {0}
+
+
+def test_sweep_is_one_segmentation_for_each_persistence(spark):
+    values = (np.random.RandomState(8).permutation(125) / 10.0).tolist()
+    v = volume(spark, (5, 5, 5), value=values)
+    got = S.persistence_sweep(v, 5.0, 1, 3, 1, min_size=3)
+    for p in (1.0, 2.0, 3.0):
+        assert column(got.where(F.col("persistence") == p), "label") == plain_sweep(values, (5, 5, 5), 5.0, S.Rule(p, min_size=3))
+
+
+@pytest.mark.parametrize("mode", ["absolute", "adaptive"])
+def test_default_plot_counts_segments_without_a_minimum_size(spark, mode):
+    values = (np.random.RandomState(9).permutation(125) / 10.0).tolist()
+    v = volume(spark, (5, 5, 5), value=values)
+    curve = S.persistence_plot(S.merge_events(v, 5.0, S.Rule(order="value", mode=mode)), 1.0 if mode == "adaptive" else 5.0, 41, ties=True)
+    for r in curve.collect():
+        want = len(set(plain_sweep(values, (5, 5, 5), 5.0, S.Rule(r.persistence - 1e-9, order="value", mode=mode))) - {0})
+        assert r.segments == want
+
+
+def test_default_plot_takes_small_regions_out(spark):
+    # 9 and 7 meet at 4, both of two voxels; 8 of one joins at 3
+    v = volume(spark, (7, 1, 1), value=[8.0, 3.0, 9.0, 6.0, 4.0, 7.0, 5.0])
+    lasting = lambda n: sorted(r.persistence for r in S.merge_events(v, 1.0, S.Rule(min_size=n, order="value")).collect())
+    assert lasting(0) == [3.0, 5.0, math.inf] and lasting(2) == [3.0, math.inf] and lasting(4) == [math.inf]
+
+
+def test_improved_colors_differ_between_neighbors(spark):
+    edges = [(a, b) for a in range(1, 9) for b in range(a + 1, 9) if (a + b) % 3]
+    colors = spark.createDataFrame([(x, 0.5, 0.5, 0.1 * (x % 2)) for x in range(1, 10)], "label long, r double, g double, b double")
+    got = {x.label: (x.r, x.g, x.b) for x in R.improve_colors(colors, spark.createDataFrame(edges, "src long, dst long")).collect()}
+    assert len(got) == 9 and all(math.dist(got[a], got[b]) >= 0.5 for a, b in edges)
+    assert got[1] == (0.5, 0.5, 0.1) and got[9] == (0.5, 0.5, 0.1)
+
+
+def test_color_sources(spark):
+    labels = spark.createDataFrame([(1, 5, 0.1, 0.2, 0.3), (0, 5, 0.4, 0.5, 0.6), (2, 253, 1.0, 1.0, 1.0), (3, -1, 1.0, 1.0, 1.0)], "ord int, label int, r double, g double, b double")
+    assert sorted(tuple(r) for r in LN.color_source(spark, labels=labels, order="ord").collect()) == [(6, 0.4, 0.5, 0.6), (254, 0.1, 0.1, 0.1)]
+    assert {tuple(r)[1:] for r in LN.color_source(spark).collect()} == {(0.9, 0.9, 0.9)} and LN.color_source(spark, rgb=(1, 0, 0)).count() == 256
+    ramp = spark.createDataFrame([(0, 0, 0, 255), (1, 255, 0, 0)], "idx int, r int, g int, b int")
+    assert LN.color_source(spark, colormap=ramp).columns == ["slot", "r", "g", "b"]
+
+
+def test_unfinished_components_are_an_error(spark):
+    path = spark.createDataFrame([(i, i + 1) for i in range(30)], "src long, dst long")
+    with pytest.raises(RuntimeError):
+        R.connected_components(spark.range(31).withColumnRenamed("id", "label"), path, rounds=1)
 
 
 @pytest.mark.parametrize("plane", ["axes", "sphere", "normals"])
