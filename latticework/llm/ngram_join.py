@@ -14,7 +14,8 @@ partner can hold, come first; where they fill a prefix, the document is done.
 How frequencies are found without a row per shingle: a task packs the sets of
 about a million words (a *chunk*) into blocks, one for each range of shingle
 hashes. A block goes to the task of its range, which counts, and sends back the
-shared shingles only; those regroup by chunk. A shingle which several documents
+shared shingles only; those regroup by chunk. A range is counted in parts, one after the other,
+so that a task holds a part's entries at a time. A shingle which several documents
 of a chunk hold is sent once with its count, so that a hot shingle costs its
 range one entry per chunk, not one per document.
 
@@ -47,11 +48,16 @@ _U = np.uint64
 _TOK = _U((1 << 48) - 1)
 CHUNK_BYTES = 3_000_000
 CHUNK_DOCS = 40_000
+#: Rows of a block of a long list, and of one whose blocks would otherwise be few large tasks.
 BLOCK = 4_096
+SMALL_BLOCK = 512
+#: Every task's range of shingles is counted in so many parts, one after the other.
+RANGES = 16
 BLOCK_TOKENS = 1_000_000
 PAIRS_AT_ONCE = 500_000
 SIGNATURE_BITS = 1_024
-_BLOCKS = "kind int, part int, chunk long, docs binary, toks binary"
+_BLOCKS = "kind int, part int, sub int, chunk long, docs binary, toks binary"
+_BLOCK_TYPES = {"kind": pa.int32(), "part": pa.int32(), "sub": pa.int32(), "chunk": pa.int64(), "docs": pa.binary(), "toks": pa.binary()}
 _SETS = "row long, doc_id long, n long, d1 long, d2 long, toks array<long>, p1 array<long>, p2 array<long>, p3 array<long>, sig binary"
 
 
@@ -105,21 +111,21 @@ def _blocks(parts: int, k: int):
         head = head.getvalue().to_pybytes()
         chunk = int(np.frombuffer(hashlib.blake2b(head, digest_size=8).digest(), "<i8")[0])
         away = chunk % parts
-        yield 2, away, chunk, b"", head
+        yield 2, away, -1, chunk, b"", head
         uniq, inverse, count = np.unique(tok, return_inverse=True, return_counts=True)
         alone = count[inverse] == 1
         if not alone.all():
-            yield 1, away, chunk, doc[~alone].astype("<u2").tobytes(), _pack(tok[~alone])
+            yield 1, away, -1, chunk, doc[~alone].astype("<u2").tobytes(), _pack(tok[~alone])
         # entries: for a shingle of one document its index, else 65535 and the count as a second entry list
         order = np.argsort(inverse[alone], kind="stable")
         who = np.full(len(uniq), 65535, "<u2")
         who[np.sort(inverse[alone])] = doc[alone][order]
-        to = (uniq >> _U(32)) * _U(parts) >> _U(16)
-        cut = np.searchsorted(to, np.arange(parts + 1, dtype=_U))
-        for p in np.flatnonzero(np.diff(cut)):
+        to = (uniq >> _U(24)) * _U(parts * RANGES) >> _U(24)
+        cut = np.searchsorted(to, np.arange(parts * RANGES + 1, dtype=_U))
+        for p in np.flatnonzero(np.diff(cut)).tolist():
             i, j = cut[p], cut[p + 1]
             shared = np.flatnonzero(who[i:j] == 65535)
-            yield 0, int(p), chunk, who[i:j].tobytes() + count[i:j][shared].astype("<u2").tobytes(), _pack(uniq[i:j])
+            yield 0, p // RANGES, p % RANGES, chunk, who[i:j].tobytes() + count[i:j][shared].astype("<u2").tobytes(), _pack(uniq[i:j])
 
     def run(batches):
         # row numbers by partition and chunk, so that chunks with the same rows differ
@@ -129,26 +135,40 @@ def _blocks(parts: int, k: int):
             for part in C.slices(batch, "text", CHUNK_BYTES, CHUNK_DOCS):
                 rows.extend(chunk_rows(part, first))
                 first += part.num_rows
+                if len(rows) > 5_000:
+                    yield _rows(rows)
+                    rows = []
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["kind", "part", "chunk", "docs", "toks"])
+                yield _rows(rows)
 
     return run
 
 
 def _count(batches):
-    """In the task of a range of shingles: the document frequency of the shared ones, back to their chunks."""
-    rows, entries = [], []
+    """In the task of a range of shingles: the document frequency of the shared ones, back to their chunks.
+
+    Rows come sorted by the parts of the range; what is held are the entries of one of them.
+    """
+    rows, entries, now = [], [], None
     for batch in batches:
-        for kind, part, chunk, docs, toks in zip(*(batch.column(i).to_pylist() for i in range(5))):
+        for kind, part, sub, chunk, docs, toks in zip(*(batch.column(i).to_pylist() for i in range(6))):
             if kind:
-                rows.append((kind, part, chunk, docs, toks))
-            else:
-                entries.append((chunk, docs, toks))
+                rows.append((kind, part, sub, chunk, docs, toks))
+                continue
+            if sub != now:
+                yield from _counted(entries)
+                entries, now = [], sub
+            entries.append((chunk, docs, toks))
         if rows:
             yield _rows(rows)
             rows = []
+    yield from _counted(entries)
+
+
+def _counted(entries):
     if not entries:
         return
+    rows = []
     toks = [_unpack(t) for _, _, t in entries]
     sizes = np.array([len(t) for t in toks])
     every = np.concatenate(toks)
@@ -169,7 +189,7 @@ def _count(batches):
         d = df[i : i + m]
         keep = d > 1
         if keep.any():
-            rows.append((0, 0, chunk, w[keep].tobytes() + np.minimum(d[keep], 2**32 - 1).astype("<u4").tobytes(), _pack(t[keep])))
+            rows.append((0, 0, 0, chunk, w[keep].tobytes() + np.minimum(d[keep], 2**32 - 1).astype("<u4").tobytes(), _pack(t[keep])))
         if len(rows) >= 500:
             yield _rows(rows)
             rows = []
@@ -178,7 +198,7 @@ def _count(batches):
 
 
 def _rows(rows):
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["kind", "part", "chunk", "docs", "toks"])
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _BLOCK_TYPES.values())], list(_BLOCK_TYPES))
 
 
 def _sets(percent: int):
@@ -244,7 +264,7 @@ def document_sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
     spark = docs.sparkSession
     parts = min(60_000, C.shuffle_partitions(spark))
     rows = C.need(docs, "doc_id", "text").mapInArrow(_blocks(parts, k), _BLOCKS)
-    counted = rows.repartitionById(parts, "part").mapInArrow(_count, _BLOCKS)
+    counted = rows.repartitionById(parts, "part").sortWithinPartitions("sub").mapInArrow(_count, _BLOCKS)
     return C.stage(counted.groupBy("chunk").applyInArrow(_sets(percent), _SETS), "ngram-sets")
 
 
@@ -333,7 +353,8 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
             break
         last = left[0] <= 8 * left[1] or (before is not None and left[0] > before / 2)
         before = left[0]
-        again = members.join(by.select("tok", "hub", F.ceil(F.col("c") / BLOCK).alias("blocks")), "tok")
+        block = F.when(F.col("c") <= BLOCK * 4, SMALL_BLOCK).otherwise(BLOCK)
+        again = members.join(by.select("tok", "hub", F.ceil(F.col("c") / block).alias("blocks")), "tok")
         if last:
             block = F.pmod(F.xxhash64("id"), F.col("blocks"))
             own = sets.select(F.col("id").alias("member"), F.size("toks").cast("long").alias("have"), "sig")
@@ -345,12 +366,15 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
             hub = -F.col("hub.x")
             pairs = again.where((F.col("component") != F.col("hub.hc")) & fits(F.col("n"), F.col("hub.n"))).select(F.least("id", hub).alias("a"), F.greatest("id", hub).alias("b"))
         found = C.stage(_verified(pairs.distinct(), sets, percent), "ngram-links")
+        C.unstage(by)
         if not found.isEmpty():
             links = found if links is None else links.union(found)
             comp = connected_components(links)
             if not last:
                 degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
+                C.unstage(state)
                 state = C.stage(comp.join(degree, "id"), "ngram-state")
+    C.unstage(lists, state)
     return comp
 
 
