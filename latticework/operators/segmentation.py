@@ -127,12 +127,49 @@ def sweep(grid: Grid, rule: Rule) -> Forest:
     return sets
 
 
-def superlevel_components(voxels: DataFrame, threshold: float, kind: str = "26", value: str = "value") -> DataFrame:
-    """Voxels at or above the threshold with the smallest idx of their connected component."""
-    v = voxels.where(F.col(value) >= threshold)
-    edges = neighbor_pairs(v, forward(kind), ("idx",), {"other": "idx"}).select(F.col("idx").alias("src"), F.col("other").alias("dst"))
-    c = connected_components(v.select(F.col("idx").alias("label")), edges).withColumnRenamed("label", "idx")
-    return v.join(c.withColumnRenamed("component", "cc"), "idx")
+def _joined_cells(xyz: np.ndarray, shifts) -> np.ndarray:
+    """For each cell (n, 3) the first of its connected component: hooks to smaller numbers and pointer jumps."""
+    lo = xyz.min(0) - 1
+    span = xyz.max(0) - lo + 2
+    key = lambda p: ((p[:, 2] - lo[2]) * span[1] + (p[:, 1] - lo[1])) * span[0] + (p[:, 0] - lo[0])
+    own = key(xyz)
+    by = np.argsort(own)
+    a, b = [], []
+    for o in shifts:
+        k = key(xyz + np.array(o))
+        at = np.minimum(np.searchsorted(own[by], k), len(by) - 1)
+        hit = np.flatnonzero(own[by][at] == k)
+        a.append(hit)
+        b.append(by[at[hit]])
+    a, b, up = np.concatenate(a), np.concatenate(b), np.arange(len(xyz))
+    while (apart := up[a] != up[b]).any():
+        a, b = a[apart], b[apart]
+        np.minimum.at(up, np.maximum(up[a], up[b]), np.minimum(up[a], up[b]))
+        while (up[up] != up).any():
+            up = up[up]
+    return up
+
+
+def superlevel_components(voxels: DataFrame, threshold: float, kind: str = "26", value: str = "value", brick: int = 64) -> DataFrame:
+    """(idx, x, y, z, value, cc): voxels at or above the threshold with the smallest idx of their connected component.
+
+    Components are found within bricks first, one task's work each; then only pairs of voxels across
+    the bricks' faces are joined, and the graph of the bricks' components is what joins iterate over.
+    """
+    cell = [F.floor(F.col(c) / brick).cast("int").alias("b" + c) for c in "xyz"]
+    v = voxels.where(F.col(value) >= threshold).select("idx", "x", "y", "z", F.col(value).cast("double").alias(value), *cell)
+
+    def run(t: pd.DataFrame) -> pd.DataFrame:
+        t = t.sort_values("idx", ignore_index=True)
+        return t.assign(local=t["idx"].to_numpy()[_joined_cells(t[["x", "y", "z"]].to_numpy(np.int64), forward(kind))])
+
+    v = cut(v.groupBy("bx", "by", "bz").applyInPandas(run, f"idx long, x int, y int, z int, {value} double, bx int, by int, bz int, local long"))
+    face = " or ".join(f"{c} % {brick} in (0, {brick - 1})" for c in "xyz")
+    rim = v.where(face).select("idx", "x", "y", "z", "local", F.struct("bx", "by", "bz").alias("own"))
+    seams = neighbor_pairs(rim, forward(kind), ("local", "own"), {"other": "local", "its": "own"}).where("own <> its")
+    seams = seams.select(F.col("local").alias("src"), F.col("other").alias("dst")).distinct()
+    c = connected_components(v.select(F.col("local").alias("label")).distinct(), seams)
+    return v.join(c.select(F.col("label").alias("local"), F.col("component").alias("cc")), "local").select("idx", "x", "y", "z", value, "cc")
 
 
 def segment(voxels: DataFrame, threshold: float, rule: Rule = Rule(), kind: int = 26, value: str = "value") -> DataFrame:

@@ -144,6 +144,24 @@ def test_segmentation_is_that_of_one_sweep(spark, rule):
     assert column(S.segment(v, 6.5, rule), "label") == plain_sweep(values, (6, 6, 6), 6.5, rule)
 
 
+@pytest.mark.parametrize("brick", [2, 3, 64])
+def test_components_over_bricks(spark, brick):
+    values = np.random.RandomState(11).rand(7 * 6 * 5).tolist()
+    v = volume(spark, (7, 6, 5), value=values)
+    own = {i for i, x in enumerate(values) if x >= 0.9}
+    beside = lambda i, j: max(abs(i % 7 - j % 7), abs(i // 7 % 6 - j // 7 % 6), abs(i // 42 - j // 42)) <= 1
+    want = {}
+    for seed in sorted(own):
+        todo = [seed] if seed not in want else []
+        while todo:
+            i = todo.pop()
+            if i not in want:
+                want[i] = seed
+                todo += [j for j in own if beside(i, j)]
+    got = {r.idx: r.cc for r in S.superlevel_components(v, 0.9, brick=brick).collect()}
+    assert got == want and len(set(want.values())) > 3
+
+
 def test_persistence_follows_a_new_range():
     share = S.remembered_persistence(5.0, 100.0, "absolute")
     assert S.reapplied_persistence(share, 40.0, "absolute") == 2.0
