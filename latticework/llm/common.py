@@ -7,6 +7,8 @@ a lost executor costs a re-read, not a recomputation.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
@@ -55,10 +57,33 @@ def unstage(*staged: DataFrame | None) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def stable(df: DataFrame) -> DataFrame:
+    """df, or a staged copy if its plan has an exchange: rows then come in the same order to a task that is tried again."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return stage(df, "stable") if "Exchange" in plan else df
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def release() -> None:
+    """Give freed memory back to the system: Python workers stay for later tasks, and what they hold counts."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(run):
+    """A function of batches that releases memory when its task ends."""
+
+    def tidied(batches):
+        yield from run(batches)
+        release()
+
+    return tidied
+
+
 def need(df: DataFrame, *columns: str) -> DataFrame:
     """Only the named columns, so that extra columns can't clash; fails early if one is missing."""
     missing = [c for c in columns if c not in df.columns]

@@ -46,7 +46,7 @@ from latticework.llm.components import connected_components
 
 _U = np.uint64
 _TOK = _U((1 << 48) - 1)
-CHUNK_BYTES = 3_000_000
+CHUNK_BYTES = 2_000_000
 CHUNK_DOCS = 40_000
 #: Rows of a block of a long list, and of one whose blocks would otherwise be few large tasks.
 BLOCK = 4_096
@@ -205,7 +205,7 @@ def _sets(percent: int):
     """A chunk's replies to a row per document; shared shingles and prefixes only where a partner is possible."""
     list_type = pa.list_(pa.int64())
 
-    def run(table: pa.Table) -> pa.Table:
+    def built(table: pa.Table) -> pa.Table:
         head, doc, tok, df, wide = None, [], [], [], []
         for kind, docs, toks in zip(*(table.column(c).to_pylist() for c in ("kind", "docs", "toks"))):
             if kind == 2:
@@ -255,6 +255,11 @@ def _sets(percent: int):
                     lists[c][i] = signed[o[a : a + p]]
         return pa.table({**{c: head.column(c) for c in ("row", "doc_id", "n", "d1", "d2")}, **{c: pa.array(v, list_type) for c, v in lists.items()}, "sig": pa.array(sigs, pa.binary())})
 
+    def run(table: pa.Table) -> pa.Table:
+        out = built(table)
+        C.release()
+        return out
+
     return run
 
 
@@ -263,8 +268,8 @@ def document_sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
     orders where so many are shared that a partner is possible, else null. Staged."""
     spark = docs.sparkSession
     parts = min(60_000, C.shuffle_partitions(spark))
-    rows = C.need(docs, "doc_id", "text").mapInArrow(_blocks(parts, k), _BLOCKS)
-    counted = rows.repartitionById(parts, "part").sortWithinPartitions("sub").mapInArrow(_count, _BLOCKS)
+    rows = C.stable(C.need(docs, "doc_id", "text")).mapInArrow(C.tidy(_blocks(parts, k)), _BLOCKS)
+    counted = rows.repartitionById(parts, "part").sortWithinPartitions("sub").mapInArrow(C.tidy(_count), _BLOCKS)
     return C.stage(counted.groupBy("chunk").applyInArrow(_sets(percent), _SETS), "ngram-sets")
 
 
@@ -361,7 +366,7 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
             again = again.join(own, F.col("id") == F.col("member")).withColumn("block", block).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
             again = again.select("tok", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "id", "n", "have", "component", "sig")
             again = again.repartition("tok", "i", "j").sortWithinPartitions("tok", "i", "j")
-            pairs = again.mapInArrow(_scan(percent), "a long, b long")
+            pairs = again.mapInArrow(C.tidy(_scan(percent)), "a long, b long")
         else:
             hub = -F.col("hub.x")
             pairs = again.where((F.col("component") != F.col("hub.hc")) & fits(F.col("n"), F.col("hub.n"))).select(F.least("id", hub).alias("a"), F.greatest("id", hub).alias("b"))
@@ -453,7 +458,7 @@ def _all_links(sets: DataFrame, comp: DataFrame, percent: int, pairs: bool) -> D
     rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     rows = rows.select("component", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "id", "n", "size", "toks")
     rows = rows.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
-    return rows.mapInArrow(_overlaps(percent, pairs), "a long, b long" if pairs else "id long, n_links long")
+    return rows.mapInArrow(C.tidy(_overlaps(percent, pairs)), "a long, b long" if pairs else "id long, n_links long")
 
 
 _SAME = ["d1", "d2", "n"]

@@ -181,7 +181,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, wi
     """
     spark = docs.sparkSession
     schema = _PIECES + (", ids array<int>" if with_ids else "")
-    pieces = C.stage(C.need(docs, "doc_id", "text").mapInArrow(_tokenized(tokenizer, capacity, with_ids), schema), "pack-pieces")
+    pieces = C.stage(C.need(docs, "doc_id", "text").mapInArrow(C.tidy(_tokenized(tokenizer, capacity, with_ids)), schema), "pack-pieces")
     histogram = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most a row per length
     buckets = F.array(*[F.lit(max(1, -(-histogram.get(length, 0) // BUCKET_PIECES))) for length in range(capacity + 1)])
     pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.get(buckets, F.col("length").cast("int"))).cast("int"))

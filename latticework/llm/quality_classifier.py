@@ -223,7 +223,7 @@ def _add_sums(batches):
 
 def pseudo_means(pool: DataFrame, model, sure: float) -> list[dict[int, np.ndarray]]:
     """For each view the mean features of the buckets that the other view is sure of, by class."""
-    sums = pool.mapInArrow(_sure_sums(model, sure), _SUMS).repartition("view", "label", "bucket").mapInArrow(_add_sums, _SUMS)
+    sums = pool.mapInArrow(C.tidy(_sure_sums(model, sure)), _SUMS).repartition("view", "label", "bucket").mapInArrow(_add_sums, _SUMS)
     out: list[dict] = [{}, {}]
     for r in sorted(sums.collect(), key=lambda r: (r.view, r.label, r.bucket)):  # at most 4 * BUCKETS rows
         out[r.view].setdefault(r.label, []).append(np.frombuffer(r.sums, "<i8") / _ONE / r.n)
@@ -285,6 +285,6 @@ def score_documents(docs: DataFrame, labels: DataFrame, least: float = 0.2, **tr
     for c, kind in (("source", "string"), ("lang", "string"), ("n_chars", "long")):
         docs = docs if c in docs.columns else docs.withColumn(c, F.lit(None).cast(kind))
     docs = C.need(docs, "doc_id", "text", "source", "lang", "n_chars")
-    features = C.stage(docs.select("doc_id", "text", "source", "lang", F.col("n_chars").cast("long")).mapInArrow(_extract, _FEATURES), "quality-features")
+    features = C.stage(docs.select("doc_id", "text", "source", "lang", F.col("n_chars").cast("long")).mapInArrow(C.tidy(_extract), _FEATURES), "quality-features")
     model = train(features, C.need(labels, "doc_id", "label"), **training)
     return features.mapInArrow(_score(model, least), "doc_id long, p_text double, p_meta double, score double, kept boolean")

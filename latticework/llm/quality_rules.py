@@ -81,7 +81,7 @@ def _measure(batches):
 def statistics(docs: DataFrame, host: str = "source") -> DataFrame:
     d = C.need(docs, *dict.fromkeys(["doc_id", host, "text"]))
     d = d.select(F.col("doc_id").cast("long"), F.col(host).cast("string").alias("host"), "text")
-    return d.mapInArrow(_measure, "doc_id long, host string, " + ", ".join(f"{c} long" for c in _STATS))
+    return d.mapInArrow(C.tidy(_measure), "doc_id long, host string, " + ", ".join(f"{c} long" for c in _STATS))
 
 
 def host_rates(stats: DataFrame, threshold: float, z: float) -> DataFrame:

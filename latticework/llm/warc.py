@@ -162,7 +162,7 @@ def _write(folder: str, dictionary: bytes, roll: int):
 def write_archives(records: DataFrame, folder: str, dictionary: bytes, roll: int = ROLL_BYTES) -> DataFrame:
     """(page_id, url, html, digest, kind, refers_to) rows to archives in folder; (path, records, bytes), staged."""
     records = records.select("page_id", "url", "html", "digest", "kind", "refers_to")
-    return C.stage(records.mapInArrow(_write(folder, dictionary, roll), "path string, records long, bytes long"), "warc-files")
+    return C.stage(records.mapInArrow(C.tidy(_write(folder, dictionary, roll)), "path string, records long, bytes long"), "warc-files")
 
 
 def _read(batches):
@@ -182,7 +182,7 @@ def _read(batches):
 def read_archives(spark, folder: str) -> DataFrame:
     """The records of all archives under a folder, with url and html (null for revisits)."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select("content")
-    return files.mapInArrow(_read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, html string")
+    return files.mapInArrow(C.tidy(_read), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, html string")
 
 
 def archive_pages(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
@@ -212,5 +212,5 @@ def archive_pages(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     named = files.select(F.element_at(F.split("path", "/"), -1).alias("name"))
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder)
     found = found.withColumn("name", F.element_at(F.split("path", "/"), -1)).join(named, "name", "left_semi").select("content")
-    back = found.mapInArrow(_read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, html string")
+    back = found.mapInArrow(C.tidy(_read), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, html string")
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
