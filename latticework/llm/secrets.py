@@ -3,8 +3,8 @@
 Plain patterns find assignments, access ids and hex runs. Beyond these, base64 and hex
 candidates are decoded, and reported only if what they hold has the structure of a key or a
 signed token: DER whose nested lengths add up exactly, an SSH key whose strings do, or a token
-whose header is JSON that names an algorithm. Base64 may go on over lines, whose ends may be
-escaped; a candidate that hurts its decoder is no secret.
+whose header, of any length and depth, is JSON that names an algorithm. Base64 may go on over
+lines, whose ends may be escaped.
 """
 
 from __future__ import annotations
@@ -14,8 +14,8 @@ import binascii
 import bisect
 import hashlib
 import itertools
-import json
 import re
+from json.decoder import scanstring
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +35,8 @@ LINE_END = re.compile(r"(?:\r?\n|\\[nr])[ \t]*")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{32,}={0,2}")
 MORE64 = re.compile(r"(?:\r?\n|\\n)[ \t]*([A-Za-z0-9+/_-]+={0,2})")
 ANY_HEX = re.compile(r"[0-9A-Fa-f]{32,}")
-#: A token's header is a few short fields; longer ones are no header.
-HEADER_CHARS = 4_096
+JSON_SPACE = re.compile(r"[ \t\n\r]*+")
+JSON_PLAIN = re.compile(r"-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?(?:[eE][-+]?[0-9]++)?|true|false|null|NaN|-?Infinity")
 _HEX_BYTES, _B64_BYTES = np.zeros(256, bool), np.zeros(256, bool)
 _HEX_BYTES[list(b"0123456789abcdef")] = True
 _B64_BYTES[list(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_-")] = True
@@ -122,15 +122,55 @@ def is_ssh_key(data: bytes) -> bool:
     return parts is not None and len(parts) >= 2 and re.fullmatch(rb"(ssh|ecdsa|sk)-[\w@.-]+", parts[0]) is not None
 
 
+def names_algorithm(text: str) -> bool:
+    """Whether a text is JSON as json.loads takes it, an object whose last alg is a string.
+
+    Values are passed over, not built: besides one string only a byte for each open bracket is held, so that neither
+    length nor depth nor the digits of a number are bounded. Strings that JSON forbids raise ValueError.
+    """
+    skip = lambda i: JSON_SPACE.match(text, i).end()
+    opened, named, alg, i = bytearray(), False, False, skip(0)
+    while True:
+        c = text[i : i + 1]  # a value begins
+        if named:
+            alg = c == '"'
+        if c in ("[", "{"):
+            opened.append(c == "{")
+            i = skip(i + 1)
+            more = text[i : i + 1] != "]}"[opened[-1]]
+        elif c == '"':
+            i, more = skip(scanstring(text, i + 1, True)[1]), False
+        elif m := JSON_PLAIN.match(text, i):
+            i, more = skip(m.end()), False
+        else:
+            return False
+        while not more:
+            if not opened:
+                return alg and i == len(text)
+            c, i = text[i : i + 1], skip(i + 1)
+            if c == "]}"[opened[-1]]:
+                opened.pop()
+            elif c == ",":
+                more = True
+            else:
+                return False
+        named = False
+        if opened[-1]:
+            if text[i : i + 1] != '"':
+                return False
+            key, i = scanstring(text, i + 1, True)
+            i = skip(i)
+            if text[i : i + 1] != ":":
+                return False
+            named, i = len(opened) == 1 and key == "alg", skip(i + 1)
+
+
 def is_signed_token(text: str) -> bool:
     head, body, _ = text.split(".")
-    if len(head) > HEADER_CHARS:
-        return False
     try:
-        header = json.loads(decode64(head) or b"")
-    except (ValueError, RecursionError):
+        return names_algorithm((decode64(head) or b"").decode("utf-8", "surrogatepass")) and decode64(body) is not None
+    except ValueError:
         return False
-    return isinstance(header, dict) and isinstance(header.get("alg"), str) and decode64(body) is not None
 
 
 def is_armored_key(body: str) -> bool:
